@@ -13,6 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archive, write_archive
+    from .workspace import new_dir
+
+    write_archive(table(spark, sf_dir, "pages"), folder := new_dir(spark, "warc"))
+    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as n, sha256(html) as sha from p),
+g as (select *, min(page_id) over (partition by sha) as first_id, row_number() over (partition by sha order by page_id nulls last) as nth from d)
+select page_id, n as payload_bytes, sha as payload_digest,
+  case when n < 100 or nth = 1 then 'response' else 'revisit' end as record_type,
+  case when n < 100 or nth = 1 then null else first_id end as refers_to
+from g"""
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
@@ -20,5 +44,33 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing,)}
-ORACLES: dict[str, str] = {}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate, hit_words
+
+    judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = hit_words(F.col("hits"))
+    return judged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+OP9 = r"""
+with d as (select doc_id, row_number() over () as row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select item_id, unnest(case when len(w) >= 13 then list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) else [array_to_string(w, ' ')] end) as win, least(len(w), 13) as n from b where len(w) > 0),
+sizes as (select distinct n from bw),
+dw as (select row_id, n, unnest(range(1, len(w) - n + 2)) as pos, w from d, sizes where len(w) >= n),
+hit as (select dw.row_id, dw.pos, dw.n, bw.item_id from (select row_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') as win from dw) dw join bw on dw.win = bw.win and dw.n = bw.n),
+places as (select row_id, count(distinct p) as n_hit from (select row_id, unnest(range(pos, pos + n)) as p from hit) group by row_id),
+found as (select row_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by row_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join places using (row_id) left join found using (row_id)"""
+
+
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op5_ngram_jaccard_join, op7_best_fit_packing, op9_benchmark_decontamination, op10_hilbert_neighbours)}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op9_benchmark_decontamination": OP9}
