@@ -83,7 +83,7 @@ class PairTable:
 
 
 class BatchEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -97,7 +97,8 @@ class BatchEncoder:
         self.inner = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
         self.letters = dict(enumerate(letters))
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.kinds = byte_kinds()
         self.kept: dict[bytes, np.ndarray] = {}
         self.forget()
@@ -269,11 +270,11 @@ def gather(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[np.repeat(begin - (ends - length), length) + np.arange(total)] if total else pool[:0]
 
 
-_encoders: dict[str, BatchEncoder] = {}
+_encoders: dict[tuple[str, bool], BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
-    """One encoder for each worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = BatchEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = True) -> BatchEncoder:
+    """One encoder for each worker process and tokenizer file; without ``special``, special tokens are ordinary text."""
+    if (path, special) not in _encoders:
+        _encoders[path, special] = BatchEncoder(path, special)
+    return _encoders[path, special]

@@ -6,16 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import new_dir, ship
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archive, write_archive
-    from .workspace import new_dir
 
     write_archive(table(spark, sf_dir, "pages"), folder := new_dir(spark, "warc"))
     return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,12 +33,42 @@ select page_id, n as payload_bytes, sha as payload_digest,
 from g"""
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, find_secrets, fit
+
+    documents = table(spark, sf_dir, "documents")
+    found = find_secrets(documents, fit(documents))
+    mark = F.transform("findings", lambda f: F.struct(f["kind"].alias("kind"), F.concat_ws(":", f["kind"], f["start"], f["end"]).alias("mark")))
+    base = F.filter(mark, lambda f: f["kind"] != KINDS[3])
+    kinds = F.transform("findings", lambda f: f["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, lambda f: f["mark"]), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform(mark, lambda f: f["mark"]), ",").alias("spans"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
@@ -44,6 +76,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate, hit_words
 
@@ -72,5 +110,5 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_ngram_jaccard_join, op7_best_fit_packing, op9_benchmark_decontamination, op10_hilbert_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scan, op5_ngram_jaccard_join, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_benchmark_decontamination, op10_hilbert_neighbours)}
 ORACLES: dict[str, str] = {"op1_warc": OP1, "op9_benchmark_decontamination": OP9}

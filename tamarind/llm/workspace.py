@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a session, so that workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_tamarind_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    file = os.path.join(tempfile.mkdtemp(prefix="tamarind-"), "tamarind.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, str(path.relative_to(package.parent)))
+    context.addPyFile(file)
+    context._tamarind_shipped = True
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
