@@ -60,8 +60,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents stay; every finding is replaced by a mark."""
     ship(spark)
     found = secrets.find_secrets(docs.select(*COLUMNS), secrets.fit(docs), keep=tuple(COLUMNS))
-    text = secrets.redact(F.col("text"), F.col("findings"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("findings") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    masked = found.withColumn("masked", secrets.redact(F.col("text"), F.col("findings")))
+    n_chars = F.when(F.size("findings") > 0, F.length("masked")).otherwise(F.col("n_chars")).cast("long")
+    return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
