@@ -30,8 +30,8 @@ from .wordscan import text_bytes
 from .workspace import is_held_out, slices
 
 WINDOW, HIDDEN = 64, 8
-#: Documents of each language, and languages, that the model is fitted on, at most.
-SAMPLE, LANGUAGES = 250, 200
+#: Documents of each language, languages, and documents in all, that the model is fitted on, at most.
+SAMPLE, LANGUAGES, TOTAL = 250, 200, 4000
 _codes = np.arange(256)
 LETTER = ((_codes | 32) >= 97) & ((_codes | 32) <= 122) & (_codes < 128) | (_codes >= 128)
 
@@ -171,6 +171,7 @@ def fit(documents: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_c
     document spread over its length; none is held out."""
     known = documents.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~is_held_out(F.col("id")))
     names = [r.label for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
+    rows = min(rows, TOTAL // max(1, len(names)))
     first = F.row_number().over(W.Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
     some = known.filter(F.col("label").isin(names)).withColumn("nth", first).filter(F.col("nth") <= rows).select("id", "label").dropDuplicates(["id"])
     sample = texts(documents, some, "label", id_col, text_col, LONGEST)

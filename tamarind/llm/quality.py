@@ -158,9 +158,9 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, mar
 
 
 class QualityModel:
-    def __init__(self, positive: list[pa.Array], unlabelled: list[pa.Array]):
+    def __init__(self, positive: pa.ChunkedArray, unlabelled: pa.ChunkedArray):
         self.net, self.prior = None, None
-        p, u = (np.concatenate([measures(x) for x in some]) if some else np.zeros((0, 18)) for some in (positive, unlabelled))
+        p, u = (np.concatenate([np.zeros((0, 18)), *(measures(x.column("text")) for x in slices(pa.table({"text": some}).to_batches(), "text"))]) for some in (positive, unlabelled))
         if len(p) > 3 and len(u) > 3:
             self.prior = class_prior(p, u)
             self.net = train(p, u, self.prior, 9)
@@ -175,7 +175,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: i
     ids = documents.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~is_held_out(F.col("id"))).distinct()
     some = ids.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(rows).withColumn("label", F.lit(-1))
     web = texts(documents, some, "label", id_col, text_col, LONGEST)
-    return QualityModel(trusted.column("text").chunks, web.column("text").chunks)
+    return QualityModel(trusted.column("text"), web.column("text"))
 
 
 def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:

@@ -63,6 +63,19 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+OP5 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[pos:pos + 4], ' ') as gram from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as pos from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b using (gram) where a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y, c = a.n and c = b.n as same from pairs join n a on x = a.doc_id join n b on y = b.doc_id where 9 * c >= 4 * (a.n + b.n)),
+reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+least_of as (select x, min(y) as y from reach group by x),
+counts as (select x, count(*) as n_links, min(y) filter (where same) as y from links group by x)
+select doc_id, least(doc_id, c.y) as class_id, coalesce(n_links, 0)::bigint as n_links, least(doc_id, l.y) as group_id
+from d left join counts c on c.x = doc_id left join least_of l on l.x = doc_id"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import languages
 
@@ -111,4 +124,4 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scan, op5_ngram_jaccard_join, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_benchmark_decontamination, op10_hilbert_neighbours)}
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op9_benchmark_decontamination": OP9}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op5_ngram_jaccard_join": OP5, "op9_benchmark_decontamination": OP9}

@@ -144,7 +144,7 @@ class Detector:
                     p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        out = self.forward(x)[-1]
+        out = self.logits(x)
         for _ in range(400):
             error = (sigmoid(out * self.scale + self.shift) - y) / len(y)
             self.scale = max(0.05, self.scale - 0.5 * float((error * out).sum()))
@@ -153,9 +153,12 @@ class Detector:
         # Never below a half: a finding has to be likelier a secret than not.
         self.threshold = max(0.5, float(good[int((1 - recall) * len(good))])) if len(good) else 2.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def logits(self, x: np.ndarray) -> np.ndarray:
         parts = [self.forward(x[s : s + 256])[-1] for s in range(0, len(x), 256)]
-        return sigmoid(np.concatenate(parts) * self.scale + self.shift) if parts else np.zeros(0)
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.logits(x) * self.scale + self.shift)
 
 
 def generated(rng: np.random.Generator) -> str:

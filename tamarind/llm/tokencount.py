@@ -84,4 +84,4 @@ def token_counts(documents: DataFrame, tokenizer: str, separator: int = SEPARATO
     spark = documents.sparkSession
     numbers = write_tokens(documents, folder := new_dir(spark, "tokens"), tokenizer, separator)
     parts = [r.part for r in numbers.select("part").distinct().orderBy("part").collect()]  # one number a file
-    return numbers.join(count_tokens(spark, folder, parts, separator, block), ["part", "nth"]).select("doc_id", "n_tokens")
+    return numbers.hint("merge").join(count_tokens(spark, folder, parts, separator, block), ["part", "nth"]).select("doc_id", "n_tokens")

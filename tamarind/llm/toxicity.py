@@ -80,6 +80,50 @@ def passage_sums(first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     return sums[np.minimum(start + PASSAGE, first[text + 1])] - sums[start], start, text
 
 
+class Words:
+    """The words of a sample: place numbers each word of the texts among the distinct ones, whose n-grams are
+    flat[begin[i]:begin[i] + counts[i]].  The texts are scanned a slice at a time."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        sizes, marks_of_all, marks, counts, grams_of = [], [], [], [], []
+        for batch in slices(pa.table({"text": texts}).to_batches(), "text"):
+            first, place, data, starts, ends, own = distinct_words(batch.column("text"))
+            sizes.append(np.diff(first))
+            marks_of_all.append(own[place])
+            many = np.zeros(len(own), np.int64)
+            parts = list(word_grams(data, starts, ends, own))
+            for words, grams in parts:
+                many[words] = grams.shape[1]
+            begin = np.cumsum(many) - many
+            flat = np.zeros(int(many.sum()), np.int32)
+            for words, grams in parts:
+                flat[begin[words][:, None] + np.arange(grams.shape[1])] = grams
+            marks.append(own)
+            counts.append(many)
+            grams_of.append(flat)
+        if not sizes:
+            sizes, marks_of_all, marks, counts, grams_of = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        distinct, some = np.unique(np.concatenate(marks), return_index=True)
+        self.place = np.searchsorted(distinct, np.concatenate(marks_of_all))
+        every = np.concatenate(counts)
+        self.begin, self.counts, self.flat = (np.cumsum(every) - every)[some], every[some], np.concatenate(grams_of)
+
+    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, which of the words each is of)."""
+        many = self.counts[words]
+        at = np.repeat(self.begin[words] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return self.flat[at], np.repeat(np.arange(len(words)), many)
+
+    def values(self, table: np.ndarray) -> np.ndarray:
+        """The mean of a table's numbers over each distinct word's n-grams."""
+        out = np.zeros(len(self.counts))
+        for s in range(0, len(out), 50_000):
+            gram, owner = self.grams(np.arange(s, min(s + 50_000, len(out))))
+            out[s : s + 50_000] = np.bincount(owner, weights=table[gram], minlength=len(out[s : s + 50_000])) / np.maximum(self.counts[s : s + 50_000], 1)
+        return out
+
+
 class ToxicityModel:
     """After training: a number for each n-gram bucket, a bias, and the scale of the documents' logits."""
 
@@ -113,15 +157,8 @@ def train(sample: pa.Table, seed: int = 3, rounds: int = 8, keep: float = 0.5) -
     if len(np.unique(labels)) < 2:
         return model
     rng = np.random.default_rng(seed)
-    first, place, *words = distinct_words(sample.column("text").combine_chunks())
-    counts = np.zeros(len(words[1]), np.int64)
-    parts = list(word_grams(*words))
-    for own, grams in parts:
-        counts[own] = grams.shape[1]
-    begin = np.cumsum(counts) - counts
-    flat = np.zeros(int(counts.sum()), np.int64)
-    for own, grams in parts:
-        flat[begin[own][:, None] + np.arange(grams.shape[1])] = grams
+    words = Words(sample.column("text"))
+    first, place = words.first, words.place
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     soft[1], soft[0] = rng.normal(0, 0.5, DIM), 0
@@ -139,9 +176,7 @@ def train(sample: pa.Table, seed: int = 3, rounds: int = 8, keep: float = 0.5) -
         row = np.repeat(np.arange(len(chosen)), long)
         at = start[chosen][row] + np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
         word, inverse = np.unique(place[at], return_inverse=True)
-        many = counts[word]
-        gram = flat[np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        owner = np.repeat(np.arange(len(word)), many)
+        gram, owner = words.grams(word)
         kept = rng.random(len(gram)) < keep
         gram, owner = gram[kept], owner[kept]
         share = 1 / np.maximum(np.bincount(owner, minlength=len(word)), 1).astype(np.float32)
@@ -183,8 +218,7 @@ def train(sample: pa.Table, seed: int = 3, rounds: int = 8, keep: float = 0.5) -
     pools = [np.flatnonzero(apart & toxic), np.flatnonzero(apart & ~toxic)]
     for k in range(rounds + 1):
         if k:
-            value = settled().word_values(*words)[place]
-            sums = passage_sums(first, value)[0] / size[text]
+            sums = passage_sums(first, words.values(settled().table)[place])[0] / size[text]
             order = np.lexsort((-sums, text))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - np.searchsorted(text, text[order])
@@ -194,8 +228,12 @@ def train(sample: pa.Table, seed: int = 3, rounds: int = 8, keep: float = 0.5) -
         for b in range(batches):
             step(np.concatenate([some[0][b::batches], some[1][b::batches]]))
     settled()
-    logits = np.concatenate([model.logits(x) for x in sample.column("text").chunks])
-    y = np.concatenate([np.asarray(labels)])
+    sums = passage_sums(first, words.values(model.table)[place])[0] / size[text]
+    logits = np.zeros(len(size))
+    full = np.flatnonzero(size)
+    if len(full):
+        logits[full] = np.maximum.reduceat(sums, np.searchsorted(text, full))
+    logits, y = logits + model.bias, np.asarray(labels)
     for _ in range(300):  # scale and shift, both kinds weighing alike
         p = 1 / (1 + np.exp(-np.clip(logits * model.scale + model.shift, -60, 60)))
         error = (p - y) * np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
