@@ -7,6 +7,7 @@ bytes, TEXT 06 and its bytes with 00 written as 00 FF, closed by 00 00.  A desce
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,13 +110,13 @@ def compare(a: Sequence[Value], b: Sequence[Value], descending: Sequence[bool] =
 def encoded(column: Column, kind: str, descending: bool = False) -> Column:
     """The field of a column of kind BOOL, INT, UINT or TEXT, by built-in functions."""
     if kind == "BOOL":
-        digits = F.when(column, "03").otherwise("02")
+        digits = F.when(column, "03").when(~column, "02")
     elif kind == "INT":
         # Hex of a long is of its two's complement; adding 2**63 turns the sign bit.
         digits = F.concat(F.lit("04"), F.lpad(F.hex(column.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
     elif kind == "UINT":
         low = column.cast("decimal(20,0)")
-        as_long = F.when(low >= F.lit(2**63).cast("decimal(20,0)"), (low - F.lit(2**64).cast("decimal(21,0)"))).otherwise(low.cast("decimal(21,0)")).cast("long")
+        as_long = F.when(low >= F.lit(Decimal(2**63)), (low - F.lit(Decimal(2**64)))).otherwise(low.cast("decimal(21,0)")).cast("long")
         digits = F.concat(F.lit("05"), F.lpad(F.hex(as_long), 16, "0"))
     else:
         # Pairs of digits are kept apart while 00 is replaced.

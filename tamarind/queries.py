@@ -62,7 +62,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Binder(lambda name: table(spark, sf_dir, name)).bind(parse(text)).frame
+    """The query of a text; columns are called by their bare names, as other engines have them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound = Binder(lambda name: table(spark, sf_dir, name)).bind(parse(text))
+        return bound.frame.toDF(*(n.rpartition(".")[2] for n in bound.names))
+
+    return query
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
