@@ -36,7 +36,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, part = encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             first, ids = encode.encode(batch.column("text"))
             n = batch.num_rows
             with_end = np.insert(ids.astype("<u4"), first[1:], end_id)

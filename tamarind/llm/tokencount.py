@@ -43,7 +43,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, separator: i
         fs, at = store(folder)
         temporary = f"{at}/.{part:06d}.{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(temporary, compression=None) as f:
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in slices(batches, "text", 2 << 20):
                 first, ids = encode.encode(batch.column("text"))
                 f.write(np.insert(ids.astype("<u2"), first[1:], separator).tobytes())
                 n = batch.num_rows

@@ -41,8 +41,20 @@ def ship(spark: SparkSession) -> None:
     context._tamarind_shipped = True
 
 
+#: Folders that this process has named, for clear().
+_named: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared one.  Operators return DataFrames that read from such folders."""
+    _named.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables and archives of this process, once its results have been written elsewhere."""
+    while _named:
+        remove(spark, _named.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -81,3 +93,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on, and the next operator shares their memory

@@ -95,3 +95,16 @@ def test_toxic_documents_go(spark):
     right = [(i in kept) == (labels[i] == 0) for i in labels]
     assert sum(right) / len(right) > 0.9
     assert q.QUERIES
+
+
+def test_clear_deletes_intermediate_tables(spark):
+    import os
+
+    from tamarind.llm import workspace
+
+    path = workspace.new_dir(spark, "x")
+    workspace.stored(spark.range(3), path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local)
+    workspace.clear(spark)
+    assert not os.path.exists(local)
