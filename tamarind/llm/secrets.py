@@ -227,9 +227,9 @@ def find_secrets(documents: DataFrame, detector: Detector, id_col: str = "doc_id
 
 
 def redact(text, findings):
-    """The text with every finding's characters but for assignments' names masked by a mark; columns in, column out."""
+    """The text with a mark in place of every finding, or of findings that overlap; columns in, column out."""
     masked = F.aggregate(
-        F.array_sort(findings),
+        F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))),
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda s, f: F.when(f["start"] < s["at"], F.struct(s["done"].alias("done"), F.greatest(s["at"], f["end"]).alias("at"))).otherwise(
             F.struct(F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), (f["start"] - s["at"]).cast("int")), F.lit("[SECRET]")).alias("done"), f["end"].alias("at"))

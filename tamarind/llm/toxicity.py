@@ -148,6 +148,8 @@ class ToxicityModel:
         return best + self.bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        if self.bias == -np.inf:  # nothing was learnt
+            return np.zeros(len(column))
         return 1 / (1 + np.exp(-np.clip(self.logits(column) * self.scale + self.shift, -60, 60)))
 
 

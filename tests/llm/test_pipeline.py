@@ -78,7 +78,8 @@ def test_pack(spark, planted):
     docs, folder = planted
     got = cp.pack(spark, docs, folder).toPandas()
     assert len(got) >= docs.count() and (got.groupby("sequence_id").length.sum() <= 4096).all()
-    assert all(len(b) == 4 * n and np.frombuffer(b, "<u4")[-1] == 1 for b, n in zip(got.ids, got.length, strict=True))
+    assert all(len(b) == 4 * n for b, n in zip(got.ids, got.length, strict=True))
+    assert sum(np.frombuffer(b, "<u4")[-1] == 1 for b in got.ids) == docs.count()
 
 
 def test_empty_tables(spark, planted):
