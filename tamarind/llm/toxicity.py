@@ -4,7 +4,8 @@ A word's vector is the mean of the embeddings of its character n-grams and of th
 mean over its words; a linear softmax on it gives the passage's probability.  Embeddings and softmax are trained
 jointly, by AdaGrad in numpy.  A document is judged by its most toxic passage, found among all windows of ``PASSAGE``
 words of the whole text, so that long texts dilute nothing.  While training, n-grams are left out at random, so that a
-part of a word's n-grams has to do: a misspelling that was never seen shares some of them.
+part of a word's n-grams has to do: a misspelling that was never seen shares some of them.  A run of letters that is too
+long for a word, as texts written without spaces are, is walked to its end in overlapping pieces that count as words.
 
 As the softmax is linear, a word adds one number to each of its passages, and each n-gram one number to its words:
 a whole text is scored with a table look-up for each distinct word and a running sum.
@@ -17,6 +18,7 @@ is 0; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,50 +26,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .wordscan import IN_WORD, LOWER, hashes, mix, spans, text_bytes
+from .wordscan import BASE, IN_WORD, LOWER, hashes, mix, spans, text_bytes
 from .workspace import is_held_out, slices
 
 PASSAGE = 8
 DIM = 8
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
-#: Bytes of a word that are looked at by n-grams; the whole word is always a feature.
-WORD = 32
+#: A run of more than WORD bytes, as texts without spaces are, is walked in pieces of PIECE bytes, each of which counts as a
+#: word.  With the bytes beside them, pieces overlap by LONGEST - 1 bytes, so that they have all n-grams of the run.
+WORD, PIECE = 32, 16
+STEP = PIECE + 2 - (LONGEST - 1)
+#: Rows of n-grams that are held at a time.
+ROWS = 1 << 14
 #: Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE = 1500
 
 
-def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers, buckets) for words of each length: a row of n-gram buckets a word, the whole word's last."""
-    size = np.minimum(ends - starts, WORD)
-    whole = (marks >> np.uint64(40)).astype(np.int64) % BUCKETS
-    order = np.argsort(size, kind="stable")
-    cuts = np.searchsorted(size[order], np.arange(1, WORD + 2))
-    for length in range(1, WORD + 1):
-        own = order[cuts[length - 1] : cuts[length]]
-        if not len(own):
-            continue
-        letters = np.full((len(own), length + 2), 60, np.uint64)  # < and > stand at the ends
-        letters[:, -1] = 62
-        letters[:, 1:-1] = LOWER[data[starts[own][:, None] + np.arange(length)]]
-        grams = [whole[own][:, None]]
-        for n in range(SHORTEST, LONGEST + 1):
-            if length + 2 < n:
-                break
-            total = np.full((len(own), length + 3 - n), n, np.uint64)
-            for k in range(n):
-                total = total * np.uint64(0x100000001B3) + letters[:, k : length + 3 - n + k]
-            grams.append((mix(total) >> np.uint64(40)).astype(np.int64) % BUCKETS)
-        yield own, np.concatenate(grams[::-1], axis=1)
-
-
-def distinct_words(column: pa.Array):
-    """(first, place, data, starts, ends, marks): place numbers each word of the texts among the distinct ones."""
+def buckets(letters: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A row of n-gram buckets for each row of letters, the whole word's last."""
+    letters = letters.astype(np.uint64)
+    grams = [whole[:, None]]
+    for n in range(SHORTEST, min(LONGEST, letters.shape[1]) + 1):
+        count = letters.shape[1] + 1 - n
+        total = np.full((len(letters), count), n, np.uint64)
+        for k in range(n):
+            total = total * np.uint64(0x100000001B3) + letters[:, k : count + k]
+        grams.append((mix(total) >> np.uint64(40)).astype(np.int64) % BUCKETS)
+    return np.concatenate(grams[::-1], axis=1)
+
+
+class Words(NamedTuple):
+    """Distinct words, and pieces of longer runs: their bytes, whether the run goes on before and after them, the
+    run's hash, and a key of their own."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    marks: np.ndarray
+    keys: np.ndarray
+
+    def whole(self) -> np.ndarray:
+        return (self.marks >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+    def is_piece(self) -> np.ndarray:
+        return self.before | self.after
+
+    def letters(self, own: np.ndarray) -> np.ndarray:
+        """The bytes of words of one length with the ones beside them; < and > stand at the ends of runs."""
+        at = self.starts[own][:, None] + np.arange(-1, self.ends[own[0]] - self.starts[own[0]] + 1)
+        out = LOWER[self.data[np.clip(at, 0, len(self.data) - 1)]]
+        out[~self.before[own], 0], out[~self.after[own], -1] = 60, 62
+        return out
+
+    def grams(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word numbers, buckets) for some of the words, those of one length at a time."""
+        size, whole = self.ends[some] - self.starts[some], self.whole()
+        order = some[np.argsort(size, kind="stable")]
+        cuts = np.searchsorted(np.sort(size), np.arange(1, WORD + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            for s in range(a, b, ROWS):
+                own = order[s : min(s + ROWS, b)]
+                yield own, buckets(self.letters(own), whole[own])
+
+
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+    """(first, place, words): place numbers each word or piece of the texts among the distinct ones."""
     offsets, data = text_bytes(column)
     starts, ends = spans(offsets, IN_WORD[data])
     first = np.searchsorted(starts, offsets)
     marks, some, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return first, place, data, starts[some], ends[some], marks
+    starts, ends = starts[some], ends[some]
+    many = np.where(ends - starts > WORD, (ends - starts - PIECE + STEP - 1) // STEP + 1, 1)
+    begin = np.cumsum(many) - many
+    run = np.repeat(np.arange(len(many)), many)
+    nth = np.arange(len(run)) - begin[run]
+    long = many[run] > 1
+    low = np.where(long, np.minimum(starts[run] + STEP * nth, ends[run] - PIECE), starts[run])
+    high = np.where(long, low + PIECE, ends[run])
+    keys = np.where(long, mix(marks[run] + nth.astype(np.uint64) * np.uint64(BASE)), marks[run])
+    words = Words(data, low, high, low > starts[run], high < ends[run], marks[run], keys)
+    count = many[place]
+    total = np.concatenate([[0], np.cumsum(count)])
+    return total[first], np.repeat(begin[place] - total[:-1], count) + np.arange(total[-1]), words
 
 
 def passage_sums(first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,47 +123,63 @@ def passage_sums(first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     return sums[np.minimum(start + PASSAGE, first[text + 1])] - sums[start], start, text
 
 
-class Words:
-    """The words of a sample: place numbers each word of the texts among the distinct ones, whose n-grams are
-    flat[begin[i]:begin[i] + counts[i]].  The texts are scanned a slice at a time."""
+class Sample:
+    """The words of a sample: place numbers each word of the texts among the distinct ones.  Word i's n-grams are
+    flat[begin[i]:begin[i] + counts[i]], if it isn't a piece of a longer run; pieces may have as many bytes as the
+    sample, so of them letters[piece[i]] are kept, and their n-grams are taken anew.  The texts are scanned a slice at a time."""
 
     def __init__(self, texts: pa.ChunkedArray):
-        sizes, marks_of_all, marks, counts, grams_of = [], [], [], [], []
+        none = np.zeros(0, np.int64)
+        sizes, keys_of_all, keys, counts, grams_of, pieces, letters, whole = [none], [none.astype(np.uint64)], [none.astype(np.uint64)], [none], [none.astype(np.int32)], [none], [np.zeros((0, PIECE + 2), np.uint8)], [none]
+        n_pieces = 0
         for batch in slices(pa.table({"text": texts}).to_batches(), "text"):
-            first, place, data, starts, ends, own = distinct_words(batch.column("text"))
+            first, place, words = distinct_words(batch.column("text"))
             sizes.append(np.diff(first))
-            marks_of_all.append(own[place])
-            many = np.zeros(len(own), np.int64)
-            parts = list(word_grams(data, starts, ends, own))
-            for words, grams in parts:
-                many[words] = grams.shape[1]
+            keys_of_all.append(words.keys[place])
+            many, long = np.zeros(len(words.keys), np.int64), np.flatnonzero(words.is_piece())
+            parts = [(own, grams.astype(np.int32)) for own, grams in words.grams(np.flatnonzero(~words.is_piece()))]
+            for own, grams in parts:
+                many[own] = grams.shape[1]
             begin = np.cumsum(many) - many
             flat = np.zeros(int(many.sum()), np.int32)
-            for words, grams in parts:
-                flat[begin[words][:, None] + np.arange(grams.shape[1])] = grams
-            marks.append(own)
+            for own, grams in parts:
+                flat[begin[own][:, None] + np.arange(grams.shape[1])] = grams
+            piece = np.full(len(words.keys), -1)
+            piece[long] = n_pieces + np.arange(len(long))
+            n_pieces += len(long)
+            if len(long):
+                letters.append(words.letters(long))
+                whole.append(words.whole()[long])
+            keys.append(words.keys)
             counts.append(many)
             grams_of.append(flat)
-        if not sizes:
-            sizes, marks_of_all, marks, counts, grams_of = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            pieces.append(piece)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        distinct, some = np.unique(np.concatenate(marks), return_index=True)
-        self.place = np.searchsorted(distinct, np.concatenate(marks_of_all))
+        distinct, some = np.unique(np.concatenate(keys), return_index=True)
+        self.place = np.searchsorted(distinct, np.concatenate(keys_of_all))
         every = np.concatenate(counts)
         self.begin, self.counts, self.flat = (np.cumsum(every) - every)[some], every[some], np.concatenate(grams_of)
+        self.piece, self.letters, self.whole = np.concatenate(pieces)[some], np.concatenate(letters), np.concatenate(whole)
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, which of the words each is of)."""
         many = self.counts[words]
         at = np.repeat(self.begin[words] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return self.flat[at], np.repeat(np.arange(len(words)), many)
+        gram, owner = self.flat[at], np.repeat(np.arange(len(words)), many)
+        long = np.flatnonzero(self.piece[words] >= 0)
+        if not len(long):
+            return gram, owner
+        own = self.piece[words[long]]
+        more = buckets(self.letters[own], self.whole[own]).astype(np.int32)
+        return np.concatenate([gram, more.ravel()]), np.concatenate([owner, np.repeat(long, more.shape[1])])
 
     def values(self, table: np.ndarray) -> np.ndarray:
         """The mean of a table's numbers over each distinct word's n-grams."""
         out = np.zeros(len(self.counts))
-        for s in range(0, len(out), 50_000):
-            gram, owner = self.grams(np.arange(s, min(s + 50_000, len(out))))
-            out[s : s + 50_000] = np.bincount(owner, weights=table[gram], minlength=len(out[s : s + 50_000])) / np.maximum(self.counts[s : s + 50_000], 1)
+        for s in range(0, len(out), ROWS):
+            gram, owner = self.grams(np.arange(s, min(s + ROWS, len(out))))
+            n = len(out[s : s + ROWS])
+            out[s : s + ROWS] = np.bincount(owner, weights=table[gram], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
         return out
 
 
@@ -130,16 +189,16 @@ class ToxicityModel:
     def __init__(self):
         self.table, self.bias, self.scale, self.shift = np.zeros(BUCKETS, np.float32), -np.inf, 1.0, 0.0
 
-    def word_values(self, data, starts, ends, marks) -> np.ndarray:
-        values = np.zeros(len(starts), np.float32)
-        for own, grams in word_grams(data, starts, ends, marks):
+    def word_values(self, words: Words) -> np.ndarray:
+        values = np.zeros(len(words.keys), np.float32)
+        for own, grams in words.grams(np.arange(len(values))):
             values[own] = self.table[grams].mean(axis=1)
         return values
 
     def logits(self, column: pa.Array) -> np.ndarray:
         """The greatest passage logit of each text."""
-        first, place, *words = distinct_words(column)
-        sums, _, text = passage_sums(first, self.word_values(*words)[place])
+        first, place, words = distinct_words(column)
+        sums, _, text = passage_sums(first, self.word_values(words)[place])
         size = np.minimum(np.diff(first), PASSAGE)
         best = np.zeros(len(size))
         full = np.flatnonzero(size)
@@ -159,7 +218,7 @@ def train(sample: pa.Table, seed: int = 3, rounds: int = 8, keep: float = 0.5) -
     if len(np.unique(labels)) < 2:
         return model
     rng = np.random.default_rng(seed)
-    words = Words(sample.column("text"))
+    words = Sample(sample.column("text"))
     first, place = words.first, words.place
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)

@@ -127,6 +127,47 @@ def test_toxicity_on_held_out_and_misspelt_words(spark, rude, odd, none):
     assert extra.columns.count("score") == 1
 
 
+@pytest.fixture(scope="module")
+def unspaced():
+    """Texts without spaces: of half of them one has a marker, far behind the first 32 bytes."""
+    rng = random.Random(5)
+    plain, texts = [chr(0x4E00 + i) for i in range(300)], []
+    for i in range(600):
+        text = rng.choices(plain, k=rng.randint(100, 400))
+        if i % 2:
+            text.insert(rng.randrange(50, len(text)), "龘龖")
+        texts.append("".join(text))
+    return pa.table({"text": texts, "label": [i % 2 for i in range(600)]})
+
+
+def test_toxicity_reads_whole_runs(unspaced):
+    from tamarind.llm import toxicity
+
+    model = toxicity.train(unspaced.slice(0, 400))
+    scores = model.scores(unspaced.column("text").combine_chunks()[400:])
+    assert ((scores >= 0.5) == (np.arange(200) % 2 == 1)).mean() > 0.95
+
+
+def test_toxicity_of_words_behind_a_long_run(rude):
+    from tamarind.llm import toxicity
+
+    model = toxicity.fit(*rude)
+    plain = "oralnestsmiletonesaltlineratlinenutsmelt"
+    found = model.scores(pa.array([plain + w for w in ("", "blockhead", "nincompoop", "scoundrel")]))
+    assert found[0] < 0.5 and min(found[1:]) > found[0] + 0.1
+
+
+@pytest.mark.parametrize("length", [1, 31, 32, 33, 46, 47, 48, 200])
+def test_pieces_have_all_n_grams_of_a_run(length):
+    from tamarind.llm import toxicity
+
+    text = "".join(random.Random(length).choices("abcdefghij", k=length))
+    first, place, words = toxicity.distinct_words(pa.array(["zz", text, "zz"]))
+    got = {g for own, grams in words.grams(place[first[1] : first[2]]) for g in grams.ravel().tolist()}
+    letters = np.frombuffer(f"<{text}>".encode(), np.uint8)[None]
+    assert got == set(toxicity.buckets(letters, words.whole()[place[first[1] :][:1]]).ravel().tolist())
+
+
 # 3 token counts
 
 
