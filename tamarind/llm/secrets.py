@@ -5,7 +5,9 @@ letter and a digit, that overlaps no base finding.  The network reads the candid
 embeddings, a convolution, ReLU, the maximum and mean over positions, and a logistic unit, trained in numpy by Adam.  It is
 trained on labelled findings: base findings of a bounded sample of texts, and keys of common makes generated into
 contexts of the corpus, against the sample's candidates that no pattern confirms.  Half of the findings calibrate
-it: their logits get a scale and shift, and the threshold is the greatest one that keeps ``RECALL`` of the positives.
+
+it: their logits get a scale and shift, and the threshold is the greatest one that keeps ``RECALL`` of the positives that
+are candidates, which is what the network judges; base findings, which it never judges, only train it.
 
 Texts without any separator, prefix or run are passed over after one vectorised look at their bytes; all others
 are read whole.
@@ -150,8 +152,7 @@ class Detector:
             self.scale = max(0.05, self.scale - 0.5 * float((error * out).sum()))
             self.shift -= 0.5 * float(error.sum())
         good = np.sort(self.scores(x)[y == 1])
-        # Never below a half: a finding has to be likelier a secret than not.
-        self.threshold = max(0.5, float(good[int((1 - recall) * len(good))])) if len(good) else 2.0
+        self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 2.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         parts = [self.forward(x[s : s + 256])[-1] for s in range(0, len(x), 256)]
@@ -191,9 +192,10 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
         negative.append((f"{text[max(0, at - 40) : at]} {plain} {text[at : at + 40]}", s, s + len(plain)))
     positive, negative = ([x[i] for i in rng.permutation(len(x))[:4000]] for x in (positive, negative))
     x, y = pictures(positive + negative), np.array([1] * len(positive) + [0] * len(negative))
+    judged = np.array([(a, b) in candidates(text, base_spans(text)) for text, a, b in positive] + [True] * len(negative))
     detector = Detector()
     detector.train(x[::2], y[::2])
-    detector.calibrate(x[1::2], y[1::2], recall)
+    detector.calibrate(x[1::2][judged[1::2]], y[1::2][judged[1::2]], recall)
     return detector
 
 

@@ -252,6 +252,27 @@ def test_secret_network_learns(spark, documents):
     assert sum(bool(found[k]) for k in range(60)) >= 54 and not any(found[k] for k in range(60, 70))
 
 
+def test_secret_threshold_keeps_recall_below_a_half():
+    from tamarind.llm.secrets import Detector
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 97, (600, 80)).astype(np.uint8), np.arange(600) % 10 == 0  # nothing to learn, and few positives
+    detector = Detector()
+    detector.calibrate(x, y.astype(int), 0.98)
+    assert (detector.scores(x[y]) >= detector.threshold).mean() >= 0.98
+
+
+def test_secret_calibration_is_on_what_the_network_judges(spark, monkeypatch):
+    from tamarind.llm import secrets
+
+    seen = []
+    monkeypatch.setattr(secrets.Detector, "calibrate", lambda self, x, y, recall: seen.append((x[y == 1], y)))
+    secrets.fit(spark.createDataFrame([(i, f"some words password=hunter{i:04} and more") for i in range(2000)], "doc_id long, text string"))
+    easy = np.frombuffer(b"password=hunter", np.uint8) - 30
+    (x, y), n = seen[0], len(easy)
+    assert len(x) and not any((row[secrets.AROUND : secrets.AROUND + n] == easy).all() for row in x)
+
+
 def test_secrets_special_input(spark, odd, none):
     from tamarind.llm.secrets import find_secrets, fit
 
