@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a character convolutional network over every other candidate.
 
 A candidate is a longest run of the characters that keys are written in, at least ``SHORTEST`` long and with both a
-letter and a digit, that overlaps no base finding.  The network reads the candidate and ``AROUND`` characters on either side:
+letter and a digit, that overlaps no base finding.  The network reads all of it, in windows of ``SHOWN`` characters that
+overlap, with ``AROUND`` characters on either side; a candidate's score is that of its worst window.  The network is
 embeddings, a convolution, ReLU, the maximum and mean over positions, and a logistic unit, trained in numpy by Adam.  It is
 trained on labelled findings: base findings of a bounded sample of texts, and keys of common makes generated into
-contexts of the corpus, against the sample's candidates that no pattern confirms.  Half of the findings calibrate
+contexts of the corpus, alone or within paths and slugs, against the sample's candidates that no pattern confirms.  Half of the findings calibrate
 
 it: their logits get a scale and shift, and the threshold is the greatest one that keeps ``RECALL`` of the positives that
 are candidates, which is what the network judges; base findings, which it never judges, only train it.
@@ -38,9 +39,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 SHORTEST, AROUND, SHOWN = 20, 16, 48
+#: Windows start so far apart: any key of that length is whole in one of them.
+STEP = 24
 RECALL = 0.98
 #: Texts that the network's findings come from, at most.
 SAMPLE = 3000
+#: Windows of either kind that it is trained and calibrated on, at most.
+WINDOWS = 8000
 _codes = np.arange(256)
 DIGIT = (_codes >= 48) & (_codes <= 57)
 ALPHA = ((_codes | 32) >= 97) & ((_codes | 32) <= 122) & (_codes < 128)
@@ -82,14 +87,19 @@ def worth_reading(column: pa.Array) -> np.ndarray:
     return may
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Overlapping windows over all of a candidate."""
+    if b - a <= SHOWN:
+        return [(a, b)]
+    return [(s, s + SHOWN) for s in (*range(a, b - SHOWN, STEP), b - SHOWN)]
+
+
 def pictures(items: list[tuple[str, int, int]]) -> np.ndarray:
-    """What the network sees of (text, start, end): context, the candidate's first and last characters, context."""
+    """What the network sees of windows (text, start, end): context, the window's characters, context."""
     out = np.zeros((len(items), 2 * AROUND + SHOWN), np.uint8)
     for row, (text, a, b) in zip(out, items, strict=True):
-        shown = text[a:b] if b - a <= SHOWN else text[a : a + SHOWN - 8] + text[b - 8 : b]
-        before = text[max(0, a - AROUND) : a]
-        codes = np.frombuffer((before + shown + text[b : b + AROUND]).encode("utf-32-le"), "<u4")
-        at = AROUND - len(before)
+        codes = np.frombuffer(text[max(0, a - AROUND) : b + AROUND].encode("utf-32-le"), "<u4")
+        at = max(0, AROUND - a)
         row[at : at + len(codes)] = np.where((codes >= 32) & (codes < 127), codes - 30, 1)
     return out
 
@@ -145,13 +155,16 @@ class Detector:
                     m[1] = 0.999 * m[1] + 0.001 * g * g
                     p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, first: np.ndarray | None = None) -> None:
+        """x holds windows; those of candidate i, which is labelled y[i], begin at first[i] (one each, if None)."""
         out = self.logits(x)
+        if first is not None:
+            out = np.maximum.reduceat(out, first)
         for _ in range(400):
             error = (sigmoid(out * self.scale + self.shift) - y) / len(y)
             self.scale = max(0.05, self.scale - 0.5 * float((error * out).sum()))
             self.shift -= 0.5 * float(error.sum())
-        good = np.sort(self.scores(x)[y == 1])
+        good = np.sort(sigmoid(out * self.scale + self.shift)[y == 1])
         self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 2.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -161,6 +174,15 @@ class Detector:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(x) * self.scale + self.shift)
 
+    def judge(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """The greatest score of each candidate's windows."""
+        parts = [[(text, *w) for w in windows(a, b)] for text, a, b in items]
+        return np.maximum.reduceat(self.scores(pictures([w for p in parts for w in p])), firsts(parts))
+
+
+def firsts(parts: list[list]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+
 
 def generated(rng: np.random.Generator) -> str:
     """A key of a common make: a prefix and random characters of a base."""
@@ -175,27 +197,52 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
     ids = documents.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = texts(documents, ids.withColumn("label", F.lit(0)), "label", id_col, text_col, longest).column("text").to_pylist()
     rng = np.random.default_rng(8)
+    # Runs as (text, start, end, start and end of the key in it).
     positive, negative = [], []
     for text in sample:
         base = base_spans(text)
-        positive += [(text, a, b) for a, _, b in base]
-        negative += [(text, a, b) for a, b in candidates(text, base)]
+        positive += [(text, a, b, a, b) for a, _, b in base]
+        negative += [(text, a, b, a, b) for a, b in candidates(text, base)]
     # Generated keys, and runs that are none (words joined by signs, numbers, paths), in places of the corpus.
     words = [w for text in sample[:300] for w in text.split()[:40] if w.isalpha()] or ["word"]
-    for k in range(1200):
-        text = sample[k % len(sample)] if sample else ""
+
+    def joined(least: int, most: int) -> str:
+        sign = "-_/+"[rng.integers(4)]
+        return sign + sign.join([*(words[i] for i in rng.integers(len(words), size=rng.integers(least, most))), str(rng.integers(3000))]) + sign
+
+    def placed(run: str, a: int, b: int) -> tuple[str, int, int, int, int]:
+        text = sample[rng.integers(len(sample))] if sample else ""
         at = int(rng.integers(len(text) + 1))
-        key = generated(rng)
-        positive.append((f"{text[max(0, at - 40) : at]} {key} {text[at : at + 40]}", (s := len(text[max(0, at - 40) : at]) + 1), s + len(key)))
-        some = [words[i] for i in rng.integers(len(words), size=rng.integers(2, 6))]
-        plain = "-_/+"[rng.integers(4)].join([*some, str(rng.integers(3000))]) if k % 2 else "-".join(str(x) for x in rng.integers(10_000, size=5)) + some[0]
-        negative.append((f"{text[max(0, at - 40) : at]} {plain} {text[at : at + 40]}", s, s + len(plain)))
+        before = text[max(0, at - 40) : at] + " "
+        text, s = f"{before}{run} {text[at : at + 40]}", len(before)
+        found = [m.span() for m in RUN.finditer(text) if m.start() <= s + a and m.end() >= s + b]
+        return text, *(found[0] if found else (s, s + len(run))), s + a, s + b
+
+    for k in range(2400):
+        key, before, after = generated(rng), "", ""
+        if k % 2:
+            before, after = (joined(0, 8) if rng.integers(4) else "" for _ in range(2))
+        positive.append(placed(before + key + after, len(before), len(before) + len(key)))
+        plain = joined(2, 16 if k % 4 == 3 else 6) if k % 2 else "-".join(str(x) for x in rng.integers(10_000, size=5)) + words[rng.integers(len(words))]
+        negative.append(placed(plain.strip("-_/+") if k % 3 else plain, 0, len(plain)))
     positive, negative = ([x[i] for i in rng.permutation(len(x))[:4000]] for x in (positive, negative))
-    x, y = pictures(positive + negative), np.array([1] * len(positive) + [0] * len(negative))
-    judged = np.array([(a, b) in candidates(text, base_spans(text)) for text, a, b in positive] + [True] * len(negative))
+
+    def shown(runs: list, ours: bool) -> list[tuple[str, int, int]]:
+        """Windows to learn from: of a key's run, those that hold as much of the key as any window has to."""
+        out = [(text, c, d) for text, a, b, s, e in runs for c, d in windows(a, b) if not ours or min(d, e) - max(c, s) >= min(e - s, STEP)]
+        return [out[i] for i in rng.permutation(len(out))[:WINDOWS]]
+
+    def apart(runs: list) -> list[list[tuple[str, int, int]]]:
+        """The windows of each run, as far as there is room."""
+        parts = [[(text, *w) for w in windows(a, b)] for text, a, b, _, _ in runs]
+        return [p for p, n in zip(parts, np.cumsum([len(p) for p in parts]), strict=True) if n <= WINDOWS]
+
     detector = Detector()
-    detector.train(x[::2], y[::2])
-    detector.calibrate(x[1::2][judged[1::2]], y[1::2][judged[1::2]], recall)
+    x = [pictures(shown(runs[::2], ours)) for runs, ours in ((positive, True), (negative, False))]
+    detector.train(np.concatenate(x), np.repeat([1, 0], [len(x[0]), len(x[1])]))
+    judged = [r for r in positive[1::2] if (r[1], r[2]) in candidates(r[0], base_spans(r[0]))]
+    good, bad = apart(judged), apart(negative[1::2])
+    detector.calibrate(pictures([w for p in good + bad for w in p]), np.repeat([1, 0], [len(good), len(bad)]), recall, firsts(good + bad))
     return detector
 
 
@@ -219,7 +266,7 @@ def find_secrets(documents: DataFrame, detector: Detector, id_col: str = "doc_id
                     items.append((text, a, b))
                     owner.append(i)
             if items:
-                for i, (_, a, b), s in zip(owner, items, sent.value.scores(pictures(items)).tolist(), strict=True):
+                for i, (_, a, b), s in zip(owner, items, sent.value.judge(items).tolist(), strict=True):
                     if s >= sent.value.threshold:
                         found[i].append({"kind": KINDS[3], "start": a, "end": b, "score": s})
             found = [sorted(x, key=lambda f: (f["start"], KINDS.index(f["kind"]))) for x in found]

@@ -266,13 +266,34 @@ def test_secret_calibration_is_on_what_the_network_judges(spark, monkeypatch):
     from tamarind.llm import secrets
 
     seen = []
-    monkeypatch.setattr(secrets.Detector, "calibrate", lambda self, x, y, recall: seen.append((x[y == 1], y)))
+    monkeypatch.setattr(secrets.Detector, "calibrate", lambda self, x, *_: seen.append(x))
     secrets.fit(spark.createDataFrame([(i, f"some words password=hunter{i:04} and more") for i in range(2000)], "doc_id long, text string"))
     easy = np.frombuffer(b"password=hunter", np.uint8) - 30
-    (x, y), n = seen[0], len(easy)
+    x, n = seen[0], len(easy)
     assert len(x) and not any((row[secrets.AROUND : secrets.AROUND + n] == easy).all() for row in x)
 
 
+def test_secrets_within_long_runs(spark, documents):
+    from tamarind.llm.secrets import find_secrets, fit
+
+    detector = fit(spark.createDataFrame(list(documents.items()), "doc_id long, text string"))
+    rng = random.Random(4)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    paths = ["/srv/app/releases/2024/config/credentials/" + x + "/settings/of/the/production/service" for x in ["ghp_" + "".join(rng.choices(base62, k=36)) for _ in range(40)] + ["shared"] * 10]
+    frame = spark.createDataFrame([(k, f"before the {x} and after") for k, x in enumerate(paths)], "doc_id long, text string")
+    found = {r.doc_id: [(f.start, f.end) for f in r.findings] for r in find_secrets(frame, detector).collect()}
+    assert sum(found[k] == [(11, 11 + len(paths[k]))] for k in range(40)) >= 36 and not any(found[k] for k in range(40, 50))
+
+
+@pytest.mark.parametrize("length", [20, 48, 49, 72, 73, 500])
+def test_windows_cover_the_candidate(length):
+    from tamarind.llm.secrets import SHOWN, STEP, windows
+
+    found = windows(7, 7 + length)
+    assert found[0][0] == 7 and found[-1][1] == 7 + length and all(b - a <= SHOWN for a, b in found)
+    assert all(any(a <= s and s + STEP <= b for a, b in found) for s in range(7, 8 + length - STEP))
+
+
 def test_secrets_special_input(spark, odd, none):
     from tamarind.llm.secrets import find_secrets, fit
 
