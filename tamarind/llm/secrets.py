@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a longest run of the characters that keys are written in, at least ``SHORTEST`` long and with both a
-letter and a digit, that overlaps no base finding.  The network reads all of it, in windows of ``SHOWN`` characters that
+A candidate is a longest run of the characters that keys are written in, at least ``SHORTEST`` long and with a letter or
+a digit, unless base findings cover all of it: one that reaches beyond them is judged as a whole.  The network reads all of it, in windows of ``SHOWN`` characters that
 overlap, with ``AROUND`` characters on either side; a candidate's score is that of its worst window.  The network is
 embeddings, a convolution, ReLU, the maximum and mean over positions, and a logistic unit, trained in numpy by Adam.  It is
 trained on labelled findings: base findings of a bounded sample of texts, and keys of common makes generated into
@@ -38,14 +38,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-SHORTEST, AROUND, SHOWN = 20, 16, 48
+WRITTEN = re.compile(r"[A-Za-z0-9]")
+SHORTEST, AROUND, SHOWN = 16, 16, 48
 #: Windows start so far apart: any key of that length is whole in one of them.
 STEP = 24
 RECALL = 0.98
 #: Texts that the network's findings come from, at most.
 SAMPLE = 3000
 #: Windows of either kind that it is trained and calibrated on, at most.
-WINDOWS = 8000
+WINDOWS = 12_000
 _codes = np.arange(256)
 DIGIT = (_codes >= 48) & (_codes <= 57)
 ALPHA = ((_codes | 32) >= 97) & ((_codes | 32) <= 122) & (_codes < 128)
@@ -66,10 +67,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    out = []
+    out, k = [], 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if b - a >= SHORTEST and not m[0].isalpha() and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and all(b <= s or a >= e for s, _, e in base):
+        if b - a < SHORTEST or not WRITTEN.search(m[0]):
+            continue
+        # Base findings that begin before the end of the run: how far do they cover it without a gap?
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        reached, at = a, k
+        while at < len(base) and base[at][0] <= reached < b:
+            reached = max(reached, base[at][2])
+            at += 1
+        if reached < b:
             out.append((a, b))
     return out
 
@@ -105,9 +115,9 @@ def pictures(items: list[tuple[str, int, int]]) -> np.ndarray:
 
 
 class Detector:
-    """Embedding (97, 8) -> convolution of width 5, 24 filters -> ReLU -> maximum and mean -> logistic."""
+    """Embedding (97, 8) -> convolution of width 5, 32 filters -> ReLU -> maximum and mean -> logistic."""
 
-    def __init__(self, seed: int = 4, size: int = 8, width: int = 5, filters: int = 24):
+    def __init__(self, seed: int = 4, size: int = 8, width: int = 5, filters: int = 32):
         rng = np.random.default_rng(seed)
         self.width = width
         self.p = [rng.normal(0, 0.5, (SYMBOLS, size)), rng.normal(0, (width * size) ** -0.5, (width * size, filters)), np.zeros(filters), rng.normal(0, filters**-0.5, 2 * filters), np.zeros(1)]
@@ -122,7 +132,7 @@ class Detector:
         pooled = np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1)
         return columns, h, most, pooled, pooled @ self.p[3] + self.p[4][0]
 
-    def train(self, x: np.ndarray, y: np.ndarray, rounds: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 6) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, rounds: int = 12, batch: int = 64, rate: float = 0.004, seed: int = 6) -> None:
         rng = np.random.default_rng(seed)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in self.p]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
@@ -187,9 +197,17 @@ def firsts(parts: list[list]) -> np.ndarray:
 def generated(rng: np.random.Generator) -> str:
     """A key of a common make: a prefix and random characters of a base."""
     # Prefixes that services give their keys.
-    prefix = ("", "ghp_", "sk-", "xoxb-", "AIza", "glpat-", "eyJ", "npm_", "pk_live_", "SG")[rng.integers(10)]
-    base = (LETTERS, LETTERS + "+/", LETTERS + "_-", LETTERS[26:])[rng.integers(4)]
-    return prefix + "".join(base[i] for i in rng.integers(len(base), size=rng.integers(22, 60)))
+    prefix = ("", "", "ghp_", "sk-", "xoxb-", "AIza", "glpat-", "eyJ", "npm_", "pk_live_", "SG")[rng.integers(11)]
+    lower, upper, digits = LETTERS[:26], LETTERS[26:52], LETTERS[52:]
+    bases = (LETTERS, LETTERS + "+/", LETTERS + "_-", upper + digits, lower + digits, digits + "abcdef", lower + upper, lower, upper)
+    base = bases[rng.choice(9, p=(0.2, 0.15, 0.15, 0.1, 0.1, 0.05, 0.1, 0.075, 0.075))]
+
+    def some(base: str, least: int, most: int) -> str:
+        return "".join(base[i] for i in rng.integers(len(base), size=rng.integers(least, most)))
+
+    if rng.integers(10) == 0:  # a part that a base pattern matches, and more behind it
+        return f"{('xkeysib-', 'key-', prefix)[rng.integers(3)]}{some(digits + 'abcdef', 24, 65)}-{some(LETTERS, 8, 33)}"
+    return prefix + some(base, max(4, SHORTEST - len(prefix)), 60)
 
 
 def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> Detector:
@@ -202,13 +220,15 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
     for text in sample:
         base = base_spans(text)
         positive += [(text, a, b, a, b) for a, _, b in base]
-        negative += [(text, a, b, a, b) for a, b in candidates(text, base)]
+        negative += [(text, a, b, a, b) for a, b in candidates(text, base) if all(b <= s or a >= e for s, _, e in base)]
     # Generated keys, and runs that are none (words joined by signs, numbers, paths), in places of the corpus.
-    words = [w for text in sample[:300] for w in text.split()[:40] if w.isalpha()] or ["word"]
+    words = sorted({w for text in sample for w in text.split()[:100] if w.isascii() and w.isalpha()}) or ["word"]
 
     def joined(least: int, most: int) -> str:
         sign = "-_/+"[rng.integers(4)]
-        return sign + sign.join([*(words[i] for i in rng.integers(len(words), size=rng.integers(least, most))), str(rng.integers(3000))]) + sign
+        parts = [words[i] for i in rng.integers(len(words), size=rng.integers(least, most))]
+        parts.insert(int(rng.integers(len(parts) + 1)), str(rng.integers(3000)))
+        return sign + sign.join(parts) + sign
 
     def placed(run: str, a: int, b: int) -> tuple[str, int, int, int, int]:
         text = sample[rng.integers(len(sample))] if sample else ""
@@ -218,14 +238,18 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
         found = [m.span() for m in RUN.finditer(text) if m.start() <= s + a and m.end() >= s + b]
         return text, *(found[0] if found else (s, s + len(run))), s + a, s + b
 
-    for k in range(2400):
+    for k in range(4000):
         key, before, after = generated(rng), "", ""
         if k % 2:
             before, after = (joined(0, 8) if rng.integers(4) else "" for _ in range(2))
         positive.append(placed(before + key + after, len(before), len(before) + len(key)))
+        together = "".join(words[i].lower() if k % 8 else words[i].capitalize() for i in rng.integers(len(words), size=rng.integers(2, 6)))
+        negative.append(placed(together, 0, len(together)))
         plain = joined(2, 16 if k % 4 == 3 else 6) if k % 2 else "-".join(str(x) for x in rng.integers(10_000, size=5)) + words[rng.integers(len(words))]
         negative.append(placed(plain.strip("-_/+") if k % 3 else plain, 0, len(plain)))
-    positive, negative = ([x[i] for i in rng.permutation(len(x))[:4000]] for x in (positive, negative))
+    positive, negative = ([x[i] for i in rng.permutation(len(x))[:8000]] for x in (positive, negative))
+    # What is no candidate teaches nothing as an example of what isn't a secret.
+    negative = [r for r in negative if r[2] - r[1] >= SHORTEST]
 
     def shown(runs: list, ours: bool) -> list[tuple[str, int, int]]:
         """Windows to learn from: of a key's run, those that hold as much of the key as any window has to."""

@@ -294,6 +294,23 @@ def test_windows_cover_the_candidate(length):
     assert all(any(a <= s and s + STEP <= b for a, b in found) for s in range(7, 8 + length - STEP))
 
 
+def test_secret_candidates_beyond_base_findings_and_short_ones(spark, documents):
+    from tamarind.llm.secrets import base_spans, candidates, find_secrets, fit, redact
+
+    long = "0123456789abcdef" * 2
+    for text, want in {f"a {long}": [], f"token={long} b": [], f"a {long}-tail": [(2, 39)], f"key-{long} b": [(0, 36)], "abcdefghijklmnop": [(0, 16)], "1234567890123456": [(0, 16)], "abcdefghijklmno": [], "-" * 40: []}.items():
+        assert candidates(text, base_spans(text)) == want, text
+    detector = fit(spark.createDataFrame(list(documents.items()), "doc_id long, text string"))
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    makes = {"composite": lambda: f"xkeysib-{''.join(rng.choices('0123456789abcdef', k=64))}-{''.join(rng.choices(letters + '0123456789', k=16))}", "short": lambda: "".join(rng.choices(letters + "0123456789", k=16)), "letters": lambda: "".join(rng.choices(letters, k=32))}
+    rows = [(k, make, key, f"before the {key} and after") for make, f in makes.items() for k, key in enumerate(f() for _ in range(40))]
+    found = find_secrets(spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string"), detector, keep=("text",))
+    masked = {r.doc_id: r.masked for r in found.select("doc_id", redact(F.col("text"), F.col("findings")).alias("masked")).collect()}
+    hidden = Counter(r[1] for i, r in enumerate(rows) if masked[i] == "before the [SECRET] and after")
+    assert hidden["composite"] >= 38 and hidden["short"] >= 28 and hidden["letters"] >= 36
+
+
 def test_secrets_special_input(spark, odd, none):
     from tamarind.llm.secrets import find_secrets, fit
 
