@@ -69,9 +69,13 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
         return np.where(self.terms[at] == wanted, at, -1)
 
+    def document(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, position, "right") - 1
+
     def near(self, term: np.ndarray, position: np.ndarray, slop: int) -> np.ndarray:
-        """Whether the term has a posting at most ``slop`` words from the position."""
-        low, high = np.maximum(position - slop, 0), np.minimum(position + slop, self.size - 1)
+        """Whether the term has a posting at most ``slop`` words from the position, in its document."""
+        document = self.document(position)
+        low, high = np.maximum(position - slop, self.first[document]), np.minimum(position + slop, self.first[document + 1] - 1)
         at = np.searchsorted(self.keys, term * self.size + low)
         found = self.keys[np.minimum(at, len(self.keys) - 1)]
         return (at < len(self.keys)) & (low <= high) & (found <= term * self.size + high)
@@ -96,13 +100,18 @@ class Segment:
         sizes = self.counts[term]
         window = np.repeat(np.arange(len(alive)), sizes)
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        position = self.positions[np.repeat(self.begin[term], sizes) + within] - rarest[window, 0]
-        size = length[alive]
-        last = position + size[window] - 1
-        ok = (position >= 0) & (last < self.size)
-        window, position, last = window[ok], position[ok], last[ok]
-        ok = np.searchsorted(self.first, position, "right") == np.searchsorted(self.first, last, "right")
-        window, position = window[ok], position[ok]
+        posting = self.positions[np.repeat(self.begin[term], sizes) + within]
+        size, starts = length[alive], []
+        for off in range(-slop, slop + 1):  # the rarest term, too, may stand off its place
+            position = posting - rarest[window, 0] + off
+            last = position + size[window] - 1
+            ok = np.flatnonzero((position >= 0) & (last < self.size))
+            document = self.document(posting[ok])
+            ok = ok[(self.document(position[ok]) == document) & (self.document(last[ok]) == document)]
+            starts.append((window[ok], position[ok]))
+        window, position = (np.concatenate(x) for x in zip(*starts, strict=True))
+        if slop:
+            window, position = np.divmod(np.unique(window * self.size + position), self.size)
         for k in range(1, rarest.shape[1]):
             more = np.flatnonzero(k < size[window])
             if not len(more):

@@ -593,6 +593,20 @@ def test_proximity_matches(spark):
     assert sorted(r.doc_id for r in decontaminate(d, b, slop=1).filter("size(items) > 0").collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_matches_brute_force(spark, slop):
+    from tamarind.llm.decontamination import decontaminate, hit_words
+
+    rng = random.Random(slop)
+    letters = [f"t{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(letters, k=rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "t0"), (62, "one x two three"), *((70 + i, "one three") for i in range(5))]
+    items = [(str(i), " ".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 6])))) for i in range(12)] + [("w", "one two three"), ("n", None)]
+    ship(spark)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n, r["items"]) for r in decontaminate(d, b, window=4, slop=slop).select("doc_id", hit_words(F.col("hits")).alias("n"), "items").collect()}
+    assert got == {i: brute_hits(t, items, 4, slop) for i, t in docs}
+
+
 # 10 nearest neighbours
 
 
