@@ -4,7 +4,7 @@ The tokenizer files this serves lower-case a text, drop its white space, cut it
 single digits, runs of other characters, and English contractions) and merge the bytes of each pre-token.  A batch's
 distinct pre-tokens are merged together, a column of words of one length at a time, and looked up for all places.
 Texts with characters beyond ASCII and the Latin-1 letters, or with a special token, go through the library itself,
-chunk by chunk between spaces.  Both ways give the library's ids.
+chunk by chunk between spaces.  Both ways give the library's ids.  A file with another normaliser or pre-tokenizer goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -22,6 +22,15 @@ LONGEST = 40
 #: Chunks that a worker keeps of the texts that the library encodes, and pre-tokens that it keeps merged.
 KEPT, MERGED = 100_000, 600_000
 NONE = np.int32(2**31 - 1)
+# The normaliser and pre-tokenizer that this module's own pass follows.  Files with others go through the library.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 
 
@@ -89,7 +98,12 @@ class BatchEncoder:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            held = json.load(f)
+        model = held["model"]
+        self.library.encode_special_tokens = not special
+        self.own = (held["normalizer"], held["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and model["type"] == "BPE" and bool(model["end_of_word_suffix"])
+        if not self.own:
+            return
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.table = PairTable(np.array([(vocab[a], vocab[b]) for a, b in pairs], np.int64), np.array([vocab[a + b] for a, b in pairs], np.int32))
@@ -97,7 +111,6 @@ class BatchEncoder:
         self.inner = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
         self.letters = dict(enumerate(letters))
-        self.library.encode_special_tokens = not special
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.kinds = byte_kinds()
         self.kept: dict[bytes, np.ndarray] = {}
@@ -130,6 +143,9 @@ class BatchEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(first, ids): the ids of row i are ids[first[i]:first[i + 1]]; null is empty."""
+        if not self.own:
+            parts = [self.whole(x or "") for x in column.to_pylist()]
+            return np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *parts])
         offsets, data = text_bytes(column)
         n = len(offsets) - 1
         kinds = self.kinds[data]

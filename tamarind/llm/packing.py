@@ -3,16 +3,22 @@
 How many sequences a packing takes depends on the pieces' lengths alone, and there are at most ``capacity`` different
 lengths.  So the driver gets one count for each length (bounded by the capacity, not by the corpus), solves the
 problem on these counts with patterns that stand for many sequences each, and executors look up the place of every
-piece from its number among the pieces of its length.
+piece from its number among the pieces of its length.  Best fit is the incumbent; where it misses the least number
+that the bounds allow, branch and bound on undominated fillings around the longest piece looks for better, within a
+stated number of steps.
 
-Results for special input: a null or empty text is one piece, the end id alone; repeated rows are packed as often as
-they occur; an empty table gives no rows; other columns of the input are ignored.
+Results for special input: a null or empty text is one piece, the end id alone; a text of any length is encoded whole;
+repeated rows are packed as often as they occur; ties between pieces of a length are decided by their order in the
+stored pieces; an empty table gives no rows; null ids are kept; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +32,10 @@ from .encoding import encoder
 from .workspace import new_dir, slices, stored
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) in one sequence
+#: Steps of the search for a better packing than best fit's, and how often it begins anew within them.
+STEPS, ROUNDS = 4_000_000, 128
+#: Rows (part, length, pieces before) that are sent to executors as arrays of 12 bytes a row; more are joined by a shuffle.
+SENT = 1_000_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,133 +69,234 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
-def fillings(room: int, counts: np.ndarray, most: int = 4, nodes: int = 256) -> list[Pattern]:
-    """Undominated ways to fill ``room`` with the lengths at hand, least waste first, then longest pieces first.
+class Plan(NamedTuple):
+    """Patterns and how many sequences follow each; how many there are in all, the least number that any packing needs
+    by the bound, and the steps of the search."""
 
-    A filling is dominated if a piece in it could be exchanged for a longer one at hand.  The first found is the
-    best-fit one; each later one has to waste less or as little.
+    patterns: list[tuple[Pattern, int]]
+    sequences: int
+    bound: int
+    steps: int
+
+
+class Steps:
+    """What is left of a search's steps, which end it wherever it runs, however fast the machine is."""
+
+    def __init__(self, most: int):
+        self.most = self.left = most
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def dominated(room: int, filling: list[tuple[int, int]], counts: np.ndarray) -> bool:
+    """Whether one more piece that is at hand could replace some of the filling's (or none), and stand for them: it is
+    at least as long as those together, the sequence still holds it, and it isn't one piece for another of its length."""
+    slack = room - sum(x * k for x, k in filling)
+    used = dict(filling)
+    # Sums of no piece and of one piece, and of two and more, as bits.
+    none, many = 1, 0
+    single = 0
+    for x, k in filling:
+        for _ in range(k):
+            many |= (many << x) | (single << x)
+            single |= 1 << x
+    low = none | single
+    for x in np.flatnonzero(counts[: room + 1])[::-1].tolist():
+        if not x or counts[x] <= used.get(x, 0):
+            continue
+        # A set of pieces with sum t is replaced by x if t <= x <= t + slack.
+        least = max(0, x - slack)
+        window = (1 << (x - least)) - 1 << least
+        if (low | many) & window or many >> x & 1:
+            return True
+    return False
+
+
+def fillings(room: int, counts: np.ndarray, allowed: int | None = None, steps: Steps | None = None) -> Iterator[Pattern]:
+    """Undominated ways to fill ``room`` with the lengths at hand, as (length, how many) from the longest on: all of
+    those that waste at most ``allowed``, those without waste first, then in bands of waste that double.
+
+    Every filling is built from its longest piece down; branches end where even all shorter pieces leave more room than
+    the waste that is allowed.
     """
-    found: dict[Pattern, int] = {}
-    spent = 0
-
-    def note(chosen: list[int]) -> int:
-        pattern = tuple(sorted(((x, chosen.count(x)) for x in set(chosen)), reverse=True))
-        found[pattern] = room - sum(chosen)
-        return found[pattern]
-
-    def search(left: int, top: int, chosen: list[int]) -> bool:
-        """True once enough fillings without waste are known."""
-        nonlocal spent
-        spent += 1
-        sizes = np.flatnonzero(counts[: min(left, top) + 1])[::-1]
-        sizes = sizes[sizes > 0]
-        for x in set(chosen):
-            if counts[x] <= chosen.count(x):
-                sizes = sizes[sizes != x]
-        if not len(sizes):
-            note(chosen)
-            return False
-        # One or two pieces that fill it exactly.
-        if sizes[0] == left:
-            note([*chosen, left])
-            return len(found) >= most
-        rest = left - sizes
-        pairs = np.flatnonzero((counts[rest] > 0) & (rest <= sizes))
-        for k in pairs[:2]:
-            a, b = int(sizes[k]), int(rest[k])
-            if all(counts[x] >= [*chosen, a, b].count(x) for x in (a, b)) and not note([*chosen, a, b]) and len(found) >= most:
-                return True
-        if len(pairs):
-            return bool(found) and min(found.values()) == 0 and len(found) >= most
-        best = min(found.values(), default=room + 1)
-        for x in sizes[:3]:
-            if spent > nodes or best == 0:
-                break
-            if search(left - int(x), int(x), [*chosen, int(x)]):
-                return True
-            best = min(found.values(), default=room + 1)
-        return False
-
-    search(room, room, [])
-    return sorted(found, key=lambda p: (found[p], [-x for x, _ in p]))[:most]
+    steps = steps or Steps(1 << 62)
+    allowed = room if allowed is None else min(allowed, room)
+    here = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
+    steps.left -= len(here) // 8  # these lists cost as much
+    have = [int(counts[x]) for x in here]
+    below = [0]
+    for x, n in zip(here, have, strict=True):
+        below.append(below[-1] + x * n)
+
+    def search(left: int, top: int, chosen: list[tuple[int, int]], least: int, most: int) -> Iterator[Pattern]:
+        """Fillings from the lengths here[:top] that leave ``least`` to ``most``."""
+        top = min(top, bisect_right(here, left))
+        if left <= most and left >= least and not (here and chosen and top and left >= here[0] and left - here[0] > most):
+            if not dominated(room, chosen, counts):
+                yield tuple(chosen)
+        for i in range(top - 1, -1, -1):
+            if left - below[i + 1] > most or not steps.take():
+                return
+            x = here[i]
+            for k in range(min(have[i], left // x), 0, -1):
+                if left - k * x >= least:
+                    yield from search(left - k * x, i, [*chosen, (x, k)], least, most)
+
+    low, high = 0, 0
+    while low <= allowed:
+        yield from search(room, len(here), [], low, min(high, allowed))
+        low, high = high + 1, max(1, 2 * high + 1)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing on counts: the incumbent."""
-    open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
+    open_: dict[int, list[tuple[tuple, int]]] = {}  # room: (chain of (length, how many, chain), sequences)
+    rooms: list[int] = []
+
+    def add(room: int, chain: tuple, n: int) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((chain, n))
+
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         while left:
-            room = min((r for r in open_ if r >= length), default=None)
-            if room is None:
-                each = min(capacity // length, left)
-                n = left // each
-                open_[capacity - each * length].append(({length: each}, n))
-                left -= n * each
-                continue
-            pattern, n = open_[room].pop()
-            if not open_[room]:
-                del open_[room]
-            used = min(n, left)
-            open_[room - length].append((pattern | {length: pattern.get(length, 0) + 1}, used))
-            if n > used:
-                open_[room].append((pattern, n - used))
-            left -= used
-    return [(tuple(sorted(p.items(), reverse=True)), n) for x in open_.values() for p, n in x]
-
-
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences follow each: as few sequences as are found within ``nodes`` completions.
-
-    Depth first: the longest piece left gets each of its undominated fillings in turn, as many sequences at once as
-    the counts allow.  A branch ends when the sequences so far and the least number for the rest (their total length
-    over the capacity) are no fewer than the incumbent's.
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                room, chain, n = capacity, (), left
+            else:
+                room = rooms[at]
+                chain, n = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            each = min(room // length, left)
+            used = min(n, left // each)
+            add(room - each * length, (length, each, chain), used)
+            if chain and n > used:
+                add(room, chain, n - used)
+            left -= used * each
+
+    def pattern(chain: tuple) -> Pattern:
+        out: dict[int, int] = defaultdict(int)
+        while chain:
+            length, each, chain = chain
+            out[length] += each
+        return tuple(sorted(out.items(), reverse=True))
+
+    return [(pattern(chain), n) for groups in open_.values() for chain, n in groups]
+
+
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: for every k, pieces over capacity - k stand alone, those over a half have one sequence each, and what
+    room these leave takes pieces of k and more, the rest of which needs sequences of its own."""
+    sizes = np.arange(len(counts), dtype=np.int64)
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * sizes)])
+    k = np.arange(capacity // 2 + 1)
+    over, half = capacity - k + 1, capacity // 2 + 1
+    n1, n2 = number[-1] - number[np.minimum(over, len(counts))], number[np.minimum(over, len(counts))] - number[min(half, len(counts))]
+    s2, s3 = total[np.minimum(over, len(counts))] - total[min(half, len(counts))], total[min(half, len(counts))] - total[np.minimum(k, len(counts))]
+    rest = s3 - (n2 * capacity - s2)
+    return int((n1 + n2 + np.maximum(0, -(-rest // capacity))).max())
+
+
+def least_waste(counts: np.ndarray, capacity: int, steps: Steps | None = None) -> int:
+    """A lower bound of all sequences' waste: a piece's own is what the fullest sequence around it leaves, were the
+    lengths at hand there in any number, and counts by the share of a sequence that the piece takes."""
+    here = [int(x) for x in np.flatnonzero(counts) if x]
+    if steps:
+        steps.left -= len(here) // 8
+    mask, reach = (2 << capacity) - 1, 1
+    while True:
+        more = reach
+        for x in here:
+            more |= more << x
+        more &= mask
+        if more == reach:
+            break
+        reach = more
+    gap = [capacity - x - ((reach & ((2 << (capacity - x)) - 1)).bit_length() - 1) for x in here]
+    return -(-sum(g * x * int(counts[x]) for g, x in zip(gap, here, strict=True)) // capacity)
+
+
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
+    """As few sequences as are found within ``steps`` steps of the search; best fit is the first incumbent.
+
+    Depth first: the longest piece left gets each of its undominated fillings in turn, as often as the counts and the
+    waste allow; going back gives up one use at a time, and the next sequence around that length then has a filling that was not
+    tried.  A branch ends when the waste is more than an improvement can afford, or when the sequences so far and the
+    least number for the rest are no fewer than the incumbent's.  A search that takes long begins anew, with the first
+    fillings of each list in another order, until the steps are spent.
     """
     counts = counts.astype(np.int64).copy()
     best = best_fit(counts, capacity)
-    fewest, total = sum(n for _, n in best), int((counts * np.arange(len(counts))).sum())
-    least = -(-total // capacity)
-    path: list[tuple[Pattern, int, list[Pattern]]] = []
-    used, left = 0, total
-
-    def choices() -> list[Pattern]:
-        longest = int(np.flatnonzero(counts)[-1])
-        counts[longest] -= 1
-        found = fillings(capacity - longest, counts) if longest < capacity else [()]
-        counts[longest] += 1
-        patterns = []
-        for filling in found or [()]:
-            many = dict(filling)
-            many[longest] = many.get(longest, 0) + 1
-            patterns.append(tuple(sorted(many.items(), reverse=True)))
-        return patterns
-
-    options = choices() if left else []
-    if not left:
-        return []
-    while nodes and fewest > least:
-        nodes -= 1
-        bound = used + -(-left // capacity)
-        if options and bound < fewest:
-            pattern, *rest = options
-            n = min(int(counts[x]) // k for x, k in pattern)
-            for x, k in pattern:
-                counts[x] -= n * k
-            used, left = used + n, left - n * sum(x * k for x, k in pattern)
-            path.append((pattern, n, rest))
-            if left:
-                options = choices()
-                continue
-            if used < fewest:
-                fewest, best = used, [(p, m) for p, m, _ in path]
-            options = []
-        if not path:
-            break
-        pattern, n, options = path.pop()
+    fewest, bound, spent = sum(n for _, n in best), least_sequences(counts, capacity), 0
+    rng = np.random.default_rng(0)
+    while fewest > bound and spent < steps:
+        limit = Steps(min(steps - spent, max(1, steps // ROUNDS)))
+        found, ended = completions(counts.copy(), capacity, fewest - 1, limit, rng if spent else None)
+        spent += limit.most - max(0, limit.left)
+        if found:
+            best, fewest = found, sum(n for _, n in found)
+        elif ended:
+            break  # no packing has fewer
+    return Plan(best, fewest, bound, spent)
+
+
+def completions(counts: np.ndarray, capacity: int, most: int, limit: Steps, rng: np.random.Generator | None) -> tuple[list[tuple[Pattern, int]], bool]:
+    """A packing into at most ``most`` sequences, if the search meets one, and whether it has seen all there are."""
+    total = int((counts * np.arange(len(counts))).sum())
+    path: list[tuple] = []  # (pattern, uses, waste of one, fillings yet to come, patterns tried before)
+    used, wasted = 0, 0
+    tried: frozenset[Pattern] = frozenset()
+    options: Iterator[Pattern] | None = None
+
+    def put(pattern: Pattern, n: int) -> None:
         for x, k in pattern:
-            counts[x] += n * k
-        used, left = used - n, left + n * sum(x * k for x, k in pattern)
-    return best
+            counts[x] -= n * k
+
+    while limit.left > 0:
+        spare = most * capacity - total - wasted
+        longest = int(np.flatnonzero(counts)[-1]) if counts.any() else 0
+        if not longest:
+            return [(p, n) for p, n, *_ in path], True
+        found = None
+        if spare >= 0 and (options is not None or used + least_sequences(counts, capacity) <= most and least_waste(counts, capacity, limit) <= spare):
+            counts[longest] -= 1
+            if options is None:
+                options = fillings(capacity - longest, counts.copy(), spare, limit)
+                if rng is not None:
+                    first = list(islice(options, 12))
+                    options = chain([first[i] for i in rng.permutation(len(first))], options)
+            for filling in options:
+                many = defaultdict(int, filling)
+                many[longest] += 1
+                pattern = tuple(sorted(many.items(), reverse=True))
+                waste = capacity - sum(x * k for x, k in pattern)
+                if pattern not in tried and waste <= spare:
+                    found = pattern
+                    break
+            counts[longest] += 1
+        if found:
+            n = min(int(counts[x]) // k for x, k in found)
+            n = min(n, spare // waste) if waste else n
+            put(found, n)
+            used, wasted = used + n, wasted + n * waste
+            path.append((found, n, waste, options, tried))
+            tried, options = (tried if counts[longest] else frozenset()), None
+            continue
+        if not path:
+            return [], limit.left > 0
+        pattern, n, waste, later, before = path.pop()
+        put(pattern, -1)
+        used, wasted = used - 1, wasted - waste
+        tried = before | {pattern}
+        options = later if n == 1 else None
+        if n > 1:
+            path.append((pattern, n - 1, waste, None, before))
+    return [], False
 
 
 def places(plan: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
@@ -212,25 +323,38 @@ def best_fit_pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, en
     counts = np.zeros(capacity + 1, np.int64)
     for length, many in by_part.groupBy("length").agg(F.sum("many")).collect():  # at most `capacity` rows
         counts[length] = many
-    table = places(bin_completion(counts, capacity))
+    table = places(bin_completion(counts, capacity).patterns)
     order = W.Window.partitionBy("length").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("many").over(order), F.lit(0)).alias("before"))
-    if by_part.count() <= 200_000:  # rows of 20 bytes; beyond, the join is shuffled
-        base = F.broadcast(base)
-    schema = T.StructType([*(f for f in cut.schema if f.name not in ("part", "nth")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    if by_part.count() <= SENT:
+        held = base.toArrow().sort_by([("part", "ascending"), ("length", "ascending")])
+        part, length, before = (held.column(x).to_numpy() for x in ("part", "length", "before"))
+        kinds, at = np.unique(part, return_index=True)
+        offsets = {p: (length[i:j].astype(np.int32), before[i:j]) for p, i, j in zip(kinds.tolist(), at, [*at[1:], len(part)], strict=True)}
+    else:
+        offsets, cut = None, cut.join(base, ["length", "part"])
+    schema = T.StructType([*(f for f in cut.schema if f.name not in ("part", "nth", "before")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    sent = spark.sparkContext.broadcast((table, offsets))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, offsets = sent.value
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            number = batch.column("number").to_numpy()
+            length, part, number = (batch.column(x).to_numpy() for x in ("length", "part", "nth"))
+            number = number.astype(np.int64)
+            if offsets is None:
+                number += batch.column("before").to_numpy()
+            else:
+                for p in np.unique(part).tolist():
+                    own = part == p
+                    number[own] += offsets[p][1][np.searchsorted(offsets[p][0], length[own])]
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            for x in np.unique(length).tolist():
-                own = np.flatnonzero(length == x)
+            order = np.argsort(length, kind="stable")
+            kinds, at = np.unique(length[order], return_index=True)
+            for x, own in zip(kinds.tolist(), np.split(order, at[1:]), strict=True):
                 rows = table[x][np.searchsorted(table[x][:, 0], number[own], "right") - 1]
                 more = number[own] - rows[:, 0]
                 sequence[own] = rows[:, 1] + more // rows[:, 3]
                 offset[own] = rows[:, 2] + more % rows[:, 3] * x
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema[:-2]), pa.array(sequence), pa.array(offset)], schema.names)
 
-    numbered = cut.join(base, ["length", "part"]).withColumn("number", F.col("before") + F.col("nth")).drop("part", "nth", "before")
-    return numbered.mapInArrow(place, schema)
+    return cut.mapInArrow(place, schema)

@@ -501,23 +501,102 @@ def fewest(lengths, room):
     return best
 
 
+def packed(plan, room):
+    out = Counter()
+    for pattern, n in plan.patterns:
+        assert sum(x * k for x, k in pattern) <= room
+        for x, k in pattern:
+            out[x] += n * k
+    assert sum(n for _, n in plan.patterns) == plan.sequences >= plan.bound
+    return out
+
+
 def test_bin_completion_is_optimal_on_small_problems():
     from tamarind.llm.packing import best_fit, bin_completion
 
     rng, better = random.Random(7), 0
-    for _ in range(60):
+    for _ in range(150):
         lengths = [rng.randint(3, 14) for _ in range(rng.randint(1, 9))]
         counts = np.bincount(lengths, minlength=21)
         plan = bin_completion(counts, 20)
-        packed = Counter()
-        for pattern, n in plan:
-            assert sum(x * k for x, k in pattern) <= 20
-            for x, k in pattern:
-                packed[x] += n * k
-        assert packed == Counter(lengths) and sum(n for _, n in plan) == fewest(lengths, 20)
-        better += sum(n for _, n in plan) < sum(n for _, n in best_fit(counts, 20))
+        assert packed(plan, 20) == Counter(lengths) and plan.sequences == fewest(lengths, 20) >= plan.bound
+        better += plan.sequences < sum(n for _, n in best_fit(counts, 20))
     hard = np.bincount([*[44] * 1, *[24] * 2, *[22] * 2, *[21] * 2, *[17] * 2, *[8] * 2, *[6] * 4], minlength=61)
-    assert sum(n for _, n in bin_completion(hard, 61)) <= sum(n for _, n in best_fit(hard, 61))
+    assert bin_completion(hard, 61).sequences <= sum(n for _, n in best_fit(hard, 61))
+    # A filling may have to be used less often than it could be.
+    many = np.bincount([*[6] * 6, *[4] * 6, *[5] * 12], minlength=16)
+    assert bin_completion(many, 15).sequences == 8
+
+
+@pytest.mark.parametrize("seed", [1, 5, 12])
+def test_bin_completion_finds_perfect_triplets(seed):
+    from tamarind.llm.packing import best_fit, bin_completion
+
+    rng, lengths = np.random.default_rng(seed), []
+    while len(lengths) < 120:
+        a, b = rng.integers(250, 500, 2).tolist()
+        if 250 <= 1000 - a - b < 500:
+            lengths += [a, b, 1000 - a - b]
+    counts = np.bincount(lengths, minlength=1001)
+    plan = bin_completion(counts, 1000)
+    assert packed(plan, 1000) == Counter(lengths) and plan.sequences == 40 < sum(n for _, n in best_fit(counts, 1000))
+
+
+def undominated(room, counts):
+    """All fillings of which no set of pieces could be replaced by one more piece at hand, by trying everything."""
+    sizes = [x for x in range(1, room + 1) if counts[x]]
+    found = set()
+    for many in itertools.product(*(range(min(counts[x], room // x) + 1) for x in sizes)):
+        items = [x for x, k in zip(sizes, many, strict=True) for _ in range(k)]
+        slack = room - sum(items)
+        if slack < 0:
+            continue
+        spare = [x for x, k in zip(sizes, many, strict=True) if counts[x] > k]
+        sums = [(sum(some), n) for n in range(len(items) + 1) for some in itertools.combinations(items, n)]
+        if not any(t <= x <= t + slack and not (n == 1 and t == x) for x in spare for t, n in sums):
+            found.add(tuple(sorted(((x, k) for x, k in zip(sizes, many, strict=True) if k), reverse=True)))
+    return found
+
+
+def test_fillings_are_all_the_undominated_ones():
+    from tamarind.llm.packing import fillings
+
+    for seed in range(120):
+        rng = np.random.default_rng(seed)
+        room, counts = int(rng.integers(5, 30)), np.bincount(rng.integers(1, 20, rng.integers(1, 8)), minlength=41)
+        got = list(fillings(room, counts))
+        assert len(got) == len(set(got)) and set(got) == undominated(room, counts)
+    assert ((30, 1), (9, 1)) in set(fillings(40, np.bincount([30, 9, 25, 15], minlength=41)))
+
+
+def test_bounds_never_exceed_the_optimum():
+    from tamarind.llm.packing import least_sequences, least_waste
+
+    rng = random.Random(3)
+    for _ in range(200):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        counts, best = np.bincount(lengths, minlength=21), fewest(lengths, 20)
+        assert least_sequences(counts, 20) <= best and least_waste(counts, 20) <= best * 20 - sum(lengths)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_places_by_arrays_or_by_a_join(spark, odd, monkeypatch, sent):
+    from tamarind.llm import packing
+
+    monkeypatch.setattr(packing, "SENT", sent)
+    got = packing.best_fit_pack(odd.repartition(5), q.WORD_BPE, 512, 1).toPandas().sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and (got.groupby("sequence_id").length.sum() <= 512).all()
+
+
+def test_other_tokenizers_go_through_the_library():
+    import public_tokenizers
+    from tamarind.llm.encoding import encoder
+
+    found = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello there, it's 1234 ÜBER", None, ""]
+    first, ids = found.encode(pa.array(texts))
+    want = [found.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not found.own and [ids[a:b].tolist() for a, b in itertools.pairwise(first)] == want
 
 
 def test_packing_special_input(spark, odd, none):
