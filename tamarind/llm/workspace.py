@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset (tests in local mode, where driver
-    and executors are one process) a temporary folder is made and named there.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset and Spark runs in local mode, where driver
+    and executors are one process, a temporary folder is made and named there; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (master := spark.sparkContext.master).startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tamarind-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +73,20 @@ def stored(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that join_by_key() joins by a broadcast, at most.
+HOT_KEYS = 10_000
+
+
+def join_by_key(rows: DataFrame, groups: DataFrame, key: str, many: str, total: int, least: int = 1000) -> DataFrame:
+    """Joins ``rows`` with ``groups`` (one row a key, which has ``many`` of all ``total`` rows).  Keys of at least a
+    ten-thousandth of all rows are joined by a broadcast (there are no more than HOT_KEYS of them, whatever the table),
+    so that no task gets all rows of a hot key; the others are shuffled."""
+    line = max(least, -(-total // HOT_KEYS))
+    hot = F.broadcast(groups.filter(F.col(many) >= line))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(many) < line), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def is_held_out(id_col) -> object:
     """True where crc32 of the id's decimal text leaves 0 modulo 5 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
