@@ -3,14 +3,15 @@
 A word's vector is the mean of the embeddings of its character n-grams and of the whole word; a passage's vector is the
 mean over its words; a linear softmax on it gives the passage's probability.  Embeddings and softmax are trained
 jointly, by AdaGrad in numpy.  A document is judged by its most toxic passage, found among all windows of ``PASSAGE``
-words of the whole text, so that long texts dilute nothing.  While training, n-grams are left out at random, so that a
+words of the whole text, so that long texts dilute nothing.  Characters are Unicode's, in small letters.  While training, n-grams are left out at random, so that a
 part of a word's n-grams has to do: a misspelling that was never seen shares some of them.  A run of letters that is too
 long for a word, as texts written without spaces are, is walked to its end in overlapping pieces that count as words.
 
 As the softmax is linear, a word adds one number to each of its passages, and each n-gram one number to its words:
 a whole text is scored with a table look-up for each distinct word and a running sum.
 
-Special input: null and empty texts, and texts without words, get the score of a passage whose words are all unknown; repeated
+Special input: null and empty texts, and texts without words, get the score of a passage whose words are all unknown; a text of
+any length is scored whole, and of a very long labelled one the fit sees stretches spread over it; repeated
 rows are scored alike; labels other than 0 and 1 and null labels teach nothing; without labels of both kinds every score
 is 0; an empty table gives no rows; other columns are ignored.
 """
@@ -26,28 +27,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .wordscan import BASE, IN_WORD, LOWER, hashes, mix, spans, text_bytes
+from .wordscan import BASE, IN_WORD, characters, mix, run_hashes, spans, text_bytes
 from .workspace import is_held_out, slices
 
 PASSAGE = 8
 DIM = 8
 BUCKETS = 1 << 17
-SHORTEST, LONGEST = 3, 5
-#: A run of more than WORD bytes, as texts without spaces are, is walked in pieces of PIECE bytes, each of which counts as a
-#: word.  With the bytes beside them, pieces overlap by LONGEST - 1 bytes, so that they have all n-grams of the run.
-WORD, PIECE = 32, 16
-STEP = PIECE + 2 - (LONGEST - 1)
+#: Characters of an n-gram; and of words with characters from WIDE on, where scripts begin in which one character says as
+#: much as some letters do.
+NARROW_GRAMS, WIDE_GRAMS, WIDE = (3, 4, 5), (1, 2, 3), 0x2E80
+#: A run of more than WORD characters, as texts without spaces are, is walked in pieces of PIECE characters, each of which
+#: counts as a word; for runs without and with wide characters.  With the characters beside them, pieces overlap by one less than
+#: the longest n-gram, so that they have all n-grams of the run.
+WORD, PIECE = np.array([32, 8]), np.array([16, 4])
+STEP = PIECE + 3 - np.array([max(NARROW_GRAMS), max(WIDE_GRAMS)])
+#: Small letters of the alphabets that have them below this code point; others stay as they are.
+CASED = 0x590
+SMALL = np.array([ord(c) if len(c := chr(k).lower()) == 1 else k for k in range(CASED)], np.uint32)
 #: Rows of n-grams that are held at a time.
 ROWS = 1 << 14
 #: Labelled documents of each kind that the model is fitted on, at most.
 SAMPLE = 1500
 
 
-def buckets(letters: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def buckets(letters: np.ndarray, whole: np.ndarray, wide: bool = False) -> np.ndarray:
     """A row of n-gram buckets for each row of letters, the whole word's last."""
     letters = letters.astype(np.uint64)
     grams = [whole[:, None]]
-    for n in range(SHORTEST, min(LONGEST, letters.shape[1]) + 1):
+    for n in WIDE_GRAMS if wide else NARROW_GRAMS:
+        if n > letters.shape[1]:
+            break
         count = letters.shape[1] + 1 - n
         total = np.full((len(letters), count), n, np.uint64)
         for k in range(n):
@@ -57,8 +66,8 @@ def buckets(letters: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """Distinct words, and pieces of longer runs: their bytes, whether the run goes on before and after them, the
-    run's hash, and a key of their own."""
+    """Distinct words, and pieces of longer runs: their characters, whether the run goes on before and after them, the
+    run's hash, a key of their own, and whether the run has wide characters."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -67,6 +76,7 @@ class Words(NamedTuple):
     after: np.ndarray
     marks: np.ndarray
     keys: np.ndarray
+    wide: np.ndarray
 
     def whole(self) -> np.ndarray:
         return (self.marks >> np.uint64(40)).astype(np.int64) % BUCKETS
@@ -75,39 +85,43 @@ class Words(NamedTuple):
         return self.before | self.after
 
     def letters(self, own: np.ndarray) -> np.ndarray:
-        """The bytes of words of one length with the ones beside them; < and > stand at the ends of runs."""
+        """The characters of words of one length with the ones beside them; < and > stand at the ends of runs."""
         at = self.starts[own][:, None] + np.arange(-1, self.ends[own[0]] - self.starts[own[0]] + 1)
-        out = LOWER[self.data[np.clip(at, 0, len(self.data) - 1)]]
+        out = self.data[np.clip(at, 0, len(self.data) - 1)]
         out[~self.before[own], 0], out[~self.after[own], -1] = 60, 62
         return out
 
     def grams(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word numbers, buckets) for some of the words, those of one length at a time."""
-        size, whole = self.ends[some] - self.starts[some], self.whole()
-        order = some[np.argsort(size, kind="stable")]
-        cuts = np.searchsorted(np.sort(size), np.arange(1, WORD + 2))
-        for a, b in zip(cuts, cuts[1:]):
+        kind, whole = 2 * (self.ends[some] - self.starts[some]) + self.wide[some], self.whole()
+        order = some[np.argsort(kind, kind="stable")]
+        cuts = np.searchsorted(np.sort(kind), np.arange(2, 2 * WORD[0] + 4))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             for s in range(a, b, ROWS):
                 own = order[s : min(s + ROWS, b)]
-                yield own, buckets(self.letters(own), whole[own])
+                yield own, buckets(self.letters(own), whole[own], k % 2 == 1)
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     """(first, place, words): place numbers each word or piece of the texts among the distinct ones."""
-    offsets, data = text_bytes(column)
-    starts, ends = spans(offsets, IN_WORD[data])
+    offsets, data = characters(*text_bytes(column))
+    data = np.where(data < CASED, SMALL[np.minimum(data, CASED - 1)], data)
+    starts, ends = spans(offsets, (data >= 128) | IN_WORD[np.minimum(data, 128)])
     first = np.searchsorted(starts, offsets)
-    marks, some, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    marks, some, place = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
     starts, ends = starts[some], ends[some]
-    many = np.where(ends - starts > WORD, (ends - starts - PIECE + STEP - 1) // STEP + 1, 1)
+    seen = np.concatenate([[0], np.cumsum(data >= WIDE)])
+    wide = (seen[ends] > seen[starts]).astype(np.int64)
+    piece, step = PIECE[wide], STEP[wide]
+    many = np.where(ends - starts > WORD[wide], (ends - starts - piece + step - 1) // step + 1, 1)
     begin = np.cumsum(many) - many
     run = np.repeat(np.arange(len(many)), many)
     nth = np.arange(len(run)) - begin[run]
     long = many[run] > 1
-    low = np.where(long, np.minimum(starts[run] + STEP * nth, ends[run] - PIECE), starts[run])
-    high = np.where(long, low + PIECE, ends[run])
+    low = np.where(long, np.minimum(starts[run] + step[run] * nth, ends[run] - piece[run]), starts[run])
+    high = np.where(long, low + piece[run], ends[run])
     keys = np.where(long, mix(marks[run] + nth.astype(np.uint64) * np.uint64(BASE)), marks[run])
-    words = Words(data, low, high, low > starts[run], high < ends[run], marks[run], keys)
+    words = Words(data, low, high, low > starts[run], high < ends[run], marks[run], keys, wide[run])
     count = many[place]
     total = np.concatenate([[0], np.cumsum(count)])
     return total[first], np.repeat(begin[place] - total[:-1], count) + np.arange(total[-1]), words
@@ -125,13 +139,14 @@ def passage_sums(first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
 
 class Sample:
     """The words of a sample: place numbers each word of the texts among the distinct ones.  Word i's n-grams are
-    flat[begin[i]:begin[i] + counts[i]], if it isn't a piece of a longer run; pieces may have as many bytes as the
-    sample, so of them letters[piece[i]] are kept, and their n-grams are taken anew.  The texts are scanned a slice at a time."""
+    flat[begin[i]:begin[i] + counts[i]], if it isn't a piece of a longer run; pieces may have as many characters as the
+    sample, so of them letters[wide[i]][piece[i]] are kept, and their n-grams are taken anew.  The texts are scanned a slice at a time."""
 
     def __init__(self, texts: pa.ChunkedArray):
         none = np.zeros(0, np.int64)
-        sizes, keys_of_all, keys, counts, grams_of, pieces, letters, whole = [none], [none.astype(np.uint64)], [none.astype(np.uint64)], [none], [none.astype(np.int32)], [none], [np.zeros((0, PIECE + 2), np.uint8)], [none]
-        n_pieces = 0
+        sizes, keys_of_all, keys, counts, grams_of, pieces, kinds, whole = [none], [none.astype(np.uint64)], [none.astype(np.uint64)], [none], [none.astype(np.int32)], [none], [none], [none]
+        letters = [[np.zeros((0, n + 2), np.uint32)] for n in PIECE]
+        n_kind = [0, 0]
         for batch in slices(pa.table({"text": texts}).to_batches(), "text"):
             first, place, words = distinct_words(batch.column("text"))
             sizes.append(np.diff(first))
@@ -145,11 +160,14 @@ class Sample:
             for own, grams in parts:
                 flat[begin[own][:, None] + np.arange(grams.shape[1])] = grams
             piece = np.full(len(words.keys), -1)
-            piece[long] = n_pieces + np.arange(len(long))
-            n_pieces += len(long)
-            if len(long):
-                letters.append(words.letters(long))
-                whole.append(words.whole()[long])
+            for wide in (0, 1):
+                own = long[words.wide[long] == wide]
+                piece[own] = n_kind[wide] + np.arange(len(own))
+                n_kind[wide] += len(own)
+                if len(own):
+                    letters[wide].append(words.letters(own))
+            kinds.append(words.wide)
+            whole.append(words.whole())
             keys.append(words.keys)
             counts.append(many)
             grams_of.append(flat)
@@ -159,7 +177,8 @@ class Sample:
         self.place = np.searchsorted(distinct, np.concatenate(keys_of_all))
         every = np.concatenate(counts)
         self.begin, self.counts, self.flat = (np.cumsum(every) - every)[some], every[some], np.concatenate(grams_of)
-        self.piece, self.letters, self.whole = np.concatenate(pieces)[some], np.concatenate(letters), np.concatenate(whole)
+        self.piece, self.wide, self.whole = (np.concatenate(x)[some] for x in (pieces, kinds, whole))
+        self.letters = [np.concatenate(x) for x in letters]
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, which of the words each is of)."""
@@ -169,9 +188,13 @@ class Sample:
         long = np.flatnonzero(self.piece[words] >= 0)
         if not len(long):
             return gram, owner
-        own = self.piece[words[long]]
-        more = buckets(self.letters[own], self.whole[own]).astype(np.int32)
-        return np.concatenate([gram, more.ravel()]), np.concatenate([owner, np.repeat(long, more.shape[1])])
+        grams, owners = [gram], [owner]
+        for wide in (0, 1):
+            own = long[self.wide[words[long]] == wide]
+            more = buckets(self.letters[wide][self.piece[words[own]]], self.whole[words[own]], wide == 1).astype(np.int32)
+            grams.append(more.ravel())
+            owners.append(np.repeat(own, more.shape[1]))
+        return np.concatenate(grams), np.concatenate(owners)
 
     def values(self, table: np.ndarray) -> np.ndarray:
         """The mean of a table's numbers over each distinct word's n-grams."""

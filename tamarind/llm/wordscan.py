@@ -74,8 +74,27 @@ def scan(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return first, hashes(data, starts, ends)
 
 
+def characters(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, code points) of texts that are given as UTF-8 bytes."""
+    if not (data >= 0x80).any():
+        return offsets, data.astype(np.uint32)
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    b = [np.append(data, np.zeros(3, np.uint8))[at + k].astype(np.uint32) for k in range(4)]
+    low = [x & 0x3F for x in b]
+    two, three = (b[0] & 0x1F) << 6 | low[1], (b[0] & 0x0F) << 12 | low[1] << 6 | low[2]
+    four = (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+    points = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
+    return np.concatenate([[0], np.cumsum(lead)])[offsets], points
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    """A hash of each run of bytes, ASCII letters as small ones."""
+    return run_hashes(LOWER[data], starts, ends)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
