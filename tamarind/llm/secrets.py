@@ -5,15 +5,17 @@ a digit, unless base findings cover all of it: one that reaches beyond them is j
 overlap, with ``AROUND`` characters on either side; a candidate's score is that of its worst window.  The network is
 embeddings, a convolution, ReLU, the maximum and mean over positions, and a logistic unit, trained in numpy by Adam.  It is
 trained on labelled findings: base findings of a bounded sample of texts, and keys of common makes generated into
-contexts of the corpus, alone or within paths and slugs, against the sample's candidates that no pattern confirms.  Half of the findings calibrate
-
-it: their logits get a scale and shift, and the threshold is the greatest one that keeps ``RECALL`` of the positives that
+contexts of the corpus, alone or within paths and slugs, against generated runs that are none.  The sample's candidates that no
+pattern confirms are unlabelled, for real keys can be among them: a first network, trained without them, judges
+them, and only those that it finds unlikely are examples of what is no secret.  Half of the findings calibrate the
+second network: their logits get a scale and shift, and the threshold is the greatest one that keeps ``RECALL`` of the positives that
 are candidates, which is what the network judges; base findings, which it never judges, only train it.
 
 Texts without any separator, prefix or run are passed over after one vectorised look at their bytes; all others
 are read whole.
 
-Special input: null is an empty text, without spans; repeated rows are scanned alike; an empty table gives no rows;
+Special input: null is an empty text, without spans; a text of any length is read whole, in time in proportion to its length (of
+very long ones the fit sees stretches spread over them); repeated rows are scanned alike; an empty table gives no rows;
 other columns are ignored.  Offsets are code points, ends exclusive.
 """
 
@@ -43,6 +45,8 @@ SHORTEST, AROUND, SHOWN = 16, 16, 48
 #: Windows start so far apart: any key of that length is whole in one of them.
 STEP = 24
 RECALL = 0.98
+#: What redaction writes in place of a finding.
+MARK = "[SECRET]"
 #: Texts that the network's findings come from, at most.
 SAMPLE = 3000
 #: Windows of either kind that it is trained and calibrated on, at most.
@@ -184,10 +188,23 @@ class Detector:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(x) * self.scale + self.shift)
 
-    def judge(self, items: list[tuple[str, int, int]]) -> np.ndarray:
-        """The greatest score of each candidate's windows."""
-        parts = [[(text, *w) for w in windows(a, b)] for text, a, b in items]
-        return np.maximum.reduceat(self.scores(pictures([w for p in parts for w in p])), firsts(parts))
+    def judge(self, items: list[tuple[str, int, int]], at_once: int = 1 << 13) -> np.ndarray:
+        """The greatest score of each candidate's windows, of which some thousand are held at a time."""
+        best, held, owner = np.zeros(len(items)), [], []
+
+        def settle() -> None:
+            np.maximum.at(best, owner, self.scores(pictures(held)))
+            held.clear(), owner.clear()
+
+        for i, (text, a, b) in enumerate(items):
+            for w in windows(a, b):
+                held.append((text, *w))
+                owner.append(i)
+                if len(held) >= at_once:
+                    settle()
+        if held:
+            settle()
+        return best
 
 
 def firsts(parts: list[list]) -> np.ndarray:
@@ -216,11 +233,11 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
     sample = texts(documents, ids.withColumn("label", F.lit(0)), "label", id_col, text_col, longest).column("text").to_pylist()
     rng = np.random.default_rng(8)
     # Runs as (text, start, end, start and end of the key in it).
-    positive, negative = [], []
+    positive, negative, unlabelled = [], [], []
     for text in sample:
         base = base_spans(text)
         positive += [(text, a, b, a, b) for a, _, b in base]
-        negative += [(text, a, b, a, b) for a, b in candidates(text, base) if all(b <= s or a >= e for s, _, e in base)]
+        unlabelled += [(text, a, b, a, b) for a, b in candidates(text, base)]
     # Generated keys, and runs that are none (words joined by signs, numbers, paths), in places of the corpus.
     words = sorted({w for text in sample for w in text.split()[:100] if w.isascii() and w.isalpha()}) or ["word"]
 
@@ -261,29 +278,49 @@ def fit(documents: DataFrame, rows: int = SAMPLE, recall: float = RECALL, id_col
         parts = [[(text, *w) for w in windows(a, b)] for text, a, b, _, _ in runs]
         return [p for p, n in zip(parts, np.cumsum([len(p) for p in parts]), strict=True) if n <= WINDOWS]
 
-    detector = Detector()
-    x = [pictures(shown(runs[::2], ours)) for runs, ours in ((positive, True), (negative, False))]
-    detector.train(np.concatenate(x), np.repeat([1, 0], [len(x[0]), len(x[1])]))
+    def trained(rounds: int) -> Detector:
+        detector = Detector()
+        x = [pictures(shown(runs[::2], ours)) for runs, ours in ((positive, True), (negative, False))]
+        detector.train(np.concatenate(x), np.repeat([1, 0], [len(x[0]), len(x[1])]), rounds)
+        return detector
+
+    unlabelled = [unlabelled[i] for i in rng.permutation(len(unlabelled))[:4000]]
+    if unlabelled:
+        likely = sigmoid(trained(4).judge([r[:3] for r in unlabelled])) >= 0.5
+        negative += [r for r, yes in zip(unlabelled, likely.tolist(), strict=True) if not yes]
+        negative = [negative[i] for i in rng.permutation(len(negative))]
+    detector = trained(12)
     judged = [r for r in positive[1::2] if (r[1], r[2]) in candidates(r[0], base_spans(r[0]))]
     good, bad = apart(judged), apart(negative[1::2])
     detector.calibrate(pictures([w for p in good + bad for w in p]), np.repeat([1, 0], [len(good), len(bad)]), recall, firsts(good + bad))
     return detector
 
 
-def find_secrets(documents: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in ``keep``, and findings: kind, start, end, score (1 for base findings), in order."""
+def masked(text: str, findings: list[tuple[int, int]]) -> str:
+    """The text with a mark in place of every finding, or of findings that overlap."""
+    parts, at = [], 0
+    for a, b in sorted(findings):
+        if a >= at:
+            parts += [text[at:a], MARK]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def find_secrets(documents: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: str | None = None) -> DataFrame:
+    """doc_id, the columns in ``keep``, and findings: kind, start, end, score (1 for base findings), in order; and, with
+    ``redacted``, a column of that name: the text with a mark in place of every finding (null stays null)."""
     finding = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     kept = [c for c in keep if c != id_col]
-    schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType), *(documents.schema[c] for c in kept), T.StructField("findings", T.ArrayType(finding))])
+    schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType), *(documents.schema[c] for c in kept), T.StructField("findings", T.ArrayType(finding)), *([T.StructField(redacted, T.StringType())] if redacted else [])])
     sent = documents.sparkSession.sparkContext.broadcast(detector)  # a few thousand numbers
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             column, found = batch.column("__text"), [[] for _ in range(batch.num_rows)]
-            items, owner = [], []
+            items, owner, read = [], [], {}
             for i in np.flatnonzero(worth_reading(column)).tolist():
-                text = column[i].as_py()
+                text = read[i] = column[i].as_py()
                 base = base_spans(text)
                 found[i] = [{"kind": KINDS[k], "start": a, "end": b, "score": 1.0} for a, k, b in base]
                 for a, b in candidates(text, base):
@@ -294,19 +331,13 @@ def find_secrets(documents: DataFrame, detector: Detector, id_col: str = "doc_id
                     if s >= sent.value.threshold:
                         found[i].append({"kind": KINDS[3], "start": a, "end": b, "score": s})
             found = [sorted(x, key=lambda f: (f["start"], KINDS.index(f["kind"]))) for x in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"__{c}") for c in ["id", *kept]), pa.array(found, kind)], schema.names)
+            arrays = [*(batch.column(f"__{c}") for c in ["id", *kept]), pa.array(found, kind)]
+            if redacted:
+                texts = column.to_pylist()
+                for i, x in enumerate(found):
+                    if x:
+                        texts[i] = masked(read[i], [(f["start"], f["end"]) for f in x])
+                arrays.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return documents.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{c}") for c in kept if c != text_col), F.col(text_col).alias("__text")).mapInArrow(run, schema)
-
-
-def redact(text, findings):
-    """The text with a mark in place of every finding, or of findings that overlap; columns in, column out."""
-    masked = F.aggregate(
-        F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))),
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda s, f: F.when(f["start"] < s["at"], F.struct(s["done"].alias("done"), F.greatest(s["at"], f["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), (f["start"] - s["at"]).cast("int")), F.lit("[SECRET]")).alias("done"), f["end"].alias("at"))
-        ),
-        lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
-    return F.when(F.size(findings) > 0, masked).otherwise(text)
