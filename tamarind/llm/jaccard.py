@@ -1,20 +1,25 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 1. Each text becomes its set of word five-grams (64-bit hashes), a MinHash signature and band keys.  Texts with equal
-   sets are one class, whose copies are never compared.
+   sets are one class, whose copies are never compared.  A class is known by 128 bits of its set, then by a number.
 2. Classes that share a band key are candidates.  Within a bucket, signatures are compared a few values at a time; a
    pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls below the
    tolerance.  Buckets of many classes are cut into blocks and spread over tasks by pairs of blocks.  What survives is
-   kept as connections: a pair whose classes are connected already is not compared.
-3. The texts of each connected group meet once (or, for a large group, once for each pair of blocks), and all their
-   pairs are verified exactly by their sets.  Links are counted there, so no pair is ever a row.
+   kept as connections: a pair whose classes are connected already need not be kept too.
+3. The texts of each connected group meet once (or, for a group of many texts or bytes, once for each pair of blocks).
+   Their pairs are pruned by the same comparison of signatures, and those that survive are verified exactly by their
+   sets.  Links are counted there, so no pair is ever a row.
 
 A pair at the threshold shares no band with probability (1 - t**rows)**bands, 3e-6 as set; more similar pairs are
 missed far more rarely, and a missed pair is still verified if other links connect its classes.
 
+Hot keys: bands and groups with a ten-thousandth of all rows or more are joined by broadcasts, and what they have is dealt
+out in blocks before signatures or texts meet.
+
 Special input: a text of one to four words has one shingle, all its words; null texts and texts without words are
-linked with nothing, and each is a class and group of its own; repeated rows are copies; null ids are allowed and are
-never a label unless nothing else is; an empty table gives no rows; other columns are ignored.
+linked with nothing, and each is a class and group of its own; a text of any length is read whole and weighs by its bytes where
+blocks are cut; repeated rows are copies; null ids are allowed and are
+never a label unless nothing else is; ties of ids go to the least; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
 from .wordscan import mix, scan
-from .workspace import new_dir, slices, stored
+from .workspace import join_by_key, new_dir, slices, stored
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -38,8 +44,8 @@ HASHES = BANDS * ROWS
 #: Signature values compared between two looks at the posterior.
 STEP = 16
 TOLERANCE = 1e-6
-#: Classes of a bucket, and texts of a group, that one task compares at a time.
-BLOCK, TEXTS = 1024, 256
+#: Classes of a bucket, texts of a group, and about their bytes, in a block; one task compares two blocks at a time.
+BLOCK, TEXTS, BYTES = 1024, 128, 16 << 20
 _odd = (mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)).astype(np.uint32)
 PLACE = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -62,18 +68,20 @@ def shingles(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, mix(total)
 
 
-def sets(first: np.ndarray, grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each text's distinct shingles, how many they are, and a hash of the set (the chance that any two of 10**9 sets
-    share one is 3 %)."""
+def sets(first: np.ndarray, grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, how many they are, and two 64-bit hashes of the set."""
     own = [np.unique(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     n = np.array([len(x) for x in own], np.int64)
-    sums = np.array([mix(x ^ PLACE[0]).sum() for x in own], np.uint64)
-    return own, n, mix(sums + n.astype(np.uint64)).view(np.int64)
+    every, ends, marks = np.concatenate([*own, grams[:0]]), np.cumsum(n), []
+    for salt in PLACE[:2]:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(every ^ salt))])
+        marks.append(mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64))
+    return own, n, *marks
 
 
 def sign(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (distinct shingles), node (a 64-bit hash of the set), sig (a byte of each MinHash value), bands."""
-    schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, n (distinct shingles), bytes, h1 and h2 (hashes of the set), sig (a byte of each MinHash value), bands."""
+    schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n", "bytes", "h1", "h2")), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -81,7 +89,8 @@ def sign(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = batch.num_rows
             sig = np.zeros((rows, HASHES), np.uint32)
             full = np.flatnonzero(np.diff(first))
-            _, n, node = sets(first, grams)
+            _, n, h1, h2 = sets(first, grams)
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             if len(full):
                 begin = first[full]
                 low = (grams >> np.uint64(32)).astype(np.uint32)
@@ -95,7 +104,7 @@ def sign(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             offsets[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mark[n > 0].ravel().view(np.int64)))
             small = mix(sig.astype(np.uint64)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.array([x.tobytes() for x in small], pa.binary()), bands], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), size, pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in small], pa.binary()), bands], schema.names)
 
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -153,14 +162,34 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, key: str, size: str, most: int, salt) -> DataFrame:
-    """Adds cell and side: a row of a group of more than ``most`` goes to a cell for each pair of its block with
+def in_blocks(rows: DataFrame, key: str, blocks, salt) -> DataFrame:
+    """Adds cell and side: a row of a group that has several blocks goes to a cell for each pair of its block with
     another one and with itself.  A cell of one block compares all its rows, one of two only rows of different sides."""
-    blocks = F.ceil(F.col(size) / most).cast("int")
-    own = F.pmod(F.xxhash64(salt, F.lit(7)), blocks).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("side", F.when(F.col("blocks") > 1, own).otherwise(0))
+    spread = rows.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("int"))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64(salt, F.lit(7)), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("cell", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).withColumn("cross", F.col("cell") % (F.col("blocks") + 1) != 0)
+    low, high = F.least("side", "other").cast("long"), F.greatest("side", "other").cast("long")
+    cell = low * F.col("blocks") - F.floor(low * (low - 1) / 2) + high - low
+    return spread.withColumn("cell", cell.cast("long")).withColumn("cross", low != high)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Sends the cells of a group to one task after the other, so that no task gets many of them by chance."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(parts, F.pmod(F.pmod(F.xxhash64(key), F.lit(parts)) + F.col("cell"), F.lit(parts)).cast("int"))
+
+
+def similar(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that no look at the posterior drops."""
+    equal = np.zeros(len(i), np.int64)
+    for k, needed in enumerate(least):
+        if not len(i):
+            break
+        part = slice(k * STEP, (k + 1) * STEP)
+        equal += (sig[i, part] == sig[j, part]).sum(axis=1)
+        keep = equal >= needed
+        i, j, equal = i[keep], j[keep], equal[keep]
+    return i, j
 
 
 def connections(buckets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -180,15 +209,7 @@ def connections(buckets: DataFrame, threshold: float, tolerance: float) -> DataF
             i, j = active, active + shift
             shift += 1
             keep = (labels[own[i]] != labels[own[j]]) & (~cross[i] | (side[i] != side[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-            i, j = i[keep], j[keep]
-            equal = np.zeros(len(i), np.int64)
-            for k, needed in enumerate(least):
-                part = slice(k * STEP, (k + 1) * STEP)
-                equal += (sig[i, part] == sig[j, part]).sum(axis=1)
-                keep = equal >= needed
-                i, j, equal = i[keep], j[keep], equal[keep]
-                if not len(i):
-                    break
+            i, j = similar(sig, i[keep], j[keep], least)
             if len(i):
                 a, b = own[i], own[j]
                 low, high = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
@@ -205,36 +226,55 @@ def connections(buckets: DataFrame, threshold: float, tolerance: float) -> DataF
     return buckets.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def verified(members: DataFrame, threshold: tuple[int, int], tolerance: float) -> DataFrame:
     """Exact links within the cells of groups: node, links (weighed by the other class's copies), root (the least node
     that the cell connects it with)."""
     up, down = threshold
+    least = least_matches(up / down, tolerance)
 
-    def compare(t: pa.Table, out: list) -> None:
-        node, side, weight = (t.column(x).to_numpy() for x in ("node", "side", "copies"))
-        cross = t.column("cross")[0].as_py()
-        first, grams = shingles(*scan(t.column("text").combine_chunks()))
-        own, n, _ = sets(first, grams)
-        row, grams = np.repeat(np.arange(len(node)), n), np.concatenate(own)
+    def shared(own: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each two of some texts share."""
+        row, grams = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
         # Shingles that only one text has count for no pair.
         _, number, many = np.unique(grams, return_inverse=True, return_counts=True)
-        shared = many[number] > 1
-        row, number = row[shared], np.unique(number[shared], return_inverse=True)[1]
+        often = many[number] > 1
+        row, number = row[often], np.unique(number[often], return_inverse=True)[1]
         order = np.argsort(number, kind="stable")
         row, number = row[order], number[order]
-        both = np.zeros((len(node), len(node)), np.int64)
+        both = np.zeros((len(own), len(own)), np.int64)
         width = 2048
         for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
             part = slice(*np.searchsorted(number, [low, low + width]))
-            bits = np.zeros((len(node), width), np.float32)
+            bits = np.zeros((len(own), width), np.float32)
             bits[row[part], number[part] - low] = 1
             both += (bits @ bits.T).astype(np.int64)
-        link = (up + down) * both >= up * (n[:, None] + n)
-        np.fill_diagonal(link, False)
-        if cross:
-            link &= side[:, None] != side
-        a, b = np.nonzero(link)
-        out.append((node, link @ weight, node_roots(node, a, b)))
+        return both
+
+    def compare(t: pa.Table, out: list) -> None:
+        node, side, weight = (t.column(x).to_numpy() for x in ("node", "side", "copies"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        own, n, *_ = sets(*shingles(*scan(t.column("text").combine_chunks())))
+        i, j = np.triu_indices(len(node), 1)
+        keep = np.minimum(n[i], n[j]) * down >= np.maximum(n[i], n[j]) * up
+        if t.column("cross")[0].as_py():
+            keep &= side[i] != side[j]
+        i, j = similar(sig, i[keep], j[keep], least)
+        # Texts that survivors connect are multiplied out together; other pairs have been dropped.
+        labels = hung(np.arange(len(node)), i, j)
+        order = np.argsort(labels[i], kind="stable")
+        i, j = i[order], j[order]
+        links, a, b = np.zeros(len(node), np.int64), [i[:0]], [i[:0]]
+        kinds, at = np.unique(labels[i], return_index=True)
+        for kind, x, y in zip(kinds, np.split(i, at[1:]), np.split(j, at[1:]), strict=True):
+            some = np.flatnonzero(labels == kind)
+            both = shared([own[k] for k in some])
+            p, q = np.searchsorted(some, x), np.searchsorted(some, y)
+            link = (up + down) * both[p, q] >= up * (n[x] + n[y])
+            a.append(x[link]), b.append(y[link])
+        a, b = np.concatenate(a), np.concatenate(b)
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
+        out.append((node, links, node_roots(node, a, b)))
 
     def node_roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         order = np.argsort(node)
@@ -262,17 +302,16 @@ def texts_of(members: DataFrame, documents: DataFrame, id_col: str, text_col: st
     wanted = members.select("doc_id").distinct()
     if members.count() <= 300_000:  # ids only: a few MB; beyond, the texts are shuffled
         wanted = F.broadcast(wanted)
-    found = texts.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).drop("wanted")
-    schema = T.StructType([found.schema["doc_id"], found.schema["text"], T.StructField("node", T.LongType())])
+    found = texts.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text")
+    schema = T.StructType([found.schema["text"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            first, grams = shingles(*scan(batch.column("text")))
-            node = sets(first, grams)[2]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(node)], schema.names)
+            _, _, h1, h2 = sets(*shingles(*scan(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(h1), pa.array(h2)], schema.names)
 
-    marked = found.mapInArrow(mark, schema).groupBy("node").agg(F.min(F.struct(F.octet_length("text"), "text")).alias("x"))
-    return members.join(marked.select("node", "x.text"), "node")
+    marked = found.mapInArrow(mark, schema).groupBy("h1", "h2").agg(F.min(F.struct(F.octet_length("text"), "text")).alias("x"))
+    return members.join(marked.select("h1", "h2", "x.text"), ["h1", "h2"])
 
 
 def jaccard_join(documents: DataFrame, threshold: tuple[int, int] = (4, 5), tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,28 +321,32 @@ def jaccard_join(documents: DataFrame, threshold: tuple[int, int] = (4, 5), tole
     many other documents it is linked with, copies among them; group_id, the least id of all that links connect.
     """
     spark = documents.sparkSession
-    reach = threshold[0] / threshold[1]
-    signed = sign(documents, id_col, text_col)
     signed = stored(sign(documents, id_col, text_col), new_dir(spark, "signed"))
     full = signed.filter("n > 0")
-    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), new_dir(spark, "classes"))
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("bytes").alias("bytes"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # The number is given once, as the table is written; everything after reads it.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), new_dir(spark, "classes"))
+    n_classes = classes.count()
     bands = classes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1")
-    wanted = bands.join(shared, "band")
-    buckets = in_blocks(wanted.join(classes.select("node", "n", "sig"), "node"), "band", "many", BLOCK, F.col("node"))
-    buckets = buckets.select("band", "cell", "side", "cross", "node", "n", "sig").repartition("band", "cell").sortWithinPartitions("band", "cell", "n")
-    roots = connected_components(connections(buckets, reach, tolerance))
-    members = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.select("node", "doc_id", "copies"), "node")
-    members = stored(members, new_dir(spark, "members"))
-    cells = in_blocks(texts_of(members, documents, id_col, text_col), "root", "size", TEXTS, F.col("node"))
-    cells = cells.select("root", "cell", "blocks", "side", "cross", "node", "copies", "text").repartition("root", "cell").sortWithinPartitions("root", "cell")
-    links = stored(verified(cells, threshold), new_dir(spark, "links"))
+    shared = stored(bands.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1"), new_dir(spark, "bands"))
+    wanted = join_by_key(bands, shared, "band", "many", n_classes * BANDS).join(classes.select("node", "n", "sig"), "node")
+    buckets = in_blocks(wanted, "band", F.ceil(F.col("many") / BLOCK), F.col("node"))
+    buckets = dealt(buckets.select("band", "cell", "side", "cross", "node", "n", "sig"), "band").sortWithinPartitions("band", "cell", "n")
+    roots = connected_components(connections(buckets, threshold[0] / threshold[1], tolerance)).join(classes.select("node", "h1", "h2", "doc_id", "copies", "bytes", "sig"), "node")
+    sizes = stored(roots.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("sum")), new_dir(spark, "sizes"))
+    members = stored(join_by_key(roots, sizes, "root", "size", n_classes), new_dir(spark, "members"))
+    blocks = F.greatest(F.ceil(F.col("size") / TEXTS), F.least(F.ceil(F.col("sum") / BYTES), F.col("size")))
+    cells = in_blocks(texts_of(members, documents, id_col, text_col), "root", blocks, F.col("node"))
+    cells = dealt(cells.select("root", "cell", "blocks", "side", "cross", "node", "copies", "sig", "text"), "root").sortWithinPartitions("root", "cell")
+    links = stored(verified(cells, threshold, tolerance), new_dir(spark, "links"))
     joined = connected_components(links.filter("split").select(F.col("node").alias("a"), F.col("root").alias("b")))
     group = links.filter("not split").select("node", "root").unionByName(joined)
-    by_class = classes.select("node", "copies", F.col("doc_id").alias("class_id")).join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(group, "node", "left")
-    by_class = by_class.select("node", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    least = by_class.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    by_class = by_class.join(least, "root").select("node", "class_id", "group_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node", "n").join(by_class, "node", "left")
-    alone = F.col("n") == 0
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
+    by_class = classes.select("h1", "h2", "node", "copies", F.col("doc_id").alias("class_id")).join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(group, "node", "left")
+    by_class = stored(by_class.select("h1", "h2", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), new_dir(spark, "groups"))
+    least = stored(by_class.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count("*").alias("many")), new_dir(spark, "least"))
+    by_class = join_by_key(by_class, least, "root", "many", n_classes)
+    by_class = by_class.select(F.struct("h1", "h2").alias("set"), "copies", "class_id", "group_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    by_class = stored(by_class, new_dir(spark, "labels"))
+    found = join_by_key(signed.filter("n > 0").select("doc_id", F.struct("h1", "h2").alias("set")), by_class, "set", "copies", signed.count())
+    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"))
+    return found.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "group_id").unionByName(alone)
