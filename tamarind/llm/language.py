@@ -1,15 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Texts are cut into windows of ``WINDOW`` bytes, all of them, so that the whole text is read.  A forward and a backward gated
-recurrent network run over each window, and a softmax on both states labels every byte position; a document's
+recurrent network run over each window and the ``AROUND`` bytes on either side, so that states are warm where a window begins and
+characters that are cut are read whole; a softmax on both states labels every byte position of the window; a document's
 probabilities are the mean over its positions.  Everything is trained in numpy by backpropagation through time.
-Positions of bytes that no letter has (ASCII other than letters) are read but not labelled or pooled, unless a text's letters
-are all of another kind.
+Positions of bytes that no letter has (ASCII other than letters) are read but not labelled or pooled.
 
 Arrays are laid out with windows last, so a step of many windows is a few matrix products and vectorised gates.
 
 Special input: ``und`` with score 0 for null texts and texts without a letter (as Unicode has it); repeated rows are
-labelled alike; documents without language teach nothing; without any labelled text every document is ``und`` with
+labelled alike; texts of any length are read whole, and of very long ones the fit sees stretches spread over them; documents without language teach nothing; without any labelled text every document is ``und`` with
 score 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -29,22 +29,25 @@ from .sampling import LONGEST, texts
 from .wordscan import text_bytes
 from .workspace import is_held_out, slices
 
-WINDOW, HIDDEN = 64, 8
+WINDOW, AROUND, HIDDEN = 88, 12, 8
 #: Documents of each language, languages, and documents in all, that the model is fitted on, at most.
 SAMPLE, LANGUAGES, TOTAL = 250, 200, 4000
 _codes = np.arange(256)
 LETTER = ((_codes | 32) >= 97) & ((_codes | 32) <= 122) & (_codes < 128) | (_codes >= 128)
 
 
-def windows(column: pa.Array, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes by position and window, whether a position is a text's, text of each window)."""
+def windows(column: pa.Array, size: int = WINDOW, around: int = AROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes by position and window, whether a position is the window's own, text of each window).  Every byte of a text
+    is one window's own; beyond a text's ends stands 0."""
     offsets, data = text_bytes(column)
     count = -(-np.diff(offsets) // size)
     text = np.repeat(np.arange(len(count)), count)
     start = offsets[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * size
-    at = start + np.arange(size)[:, None]
-    real = at < offsets[text + 1]
-    return np.where(real, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8), real, text
+    place = np.arange(-around, size + around)[:, None]
+    at = start + place
+    there = (at >= offsets[text]) & (at < offsets[text + 1])
+    codes = data[np.clip(at, 0, len(data) - 1)] if len(data) else np.zeros(at.shape, np.uint8)
+    return np.where(there, codes, 0).astype(np.uint8), there & (place >= 0) & (place < size), text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,8 +133,8 @@ class LanguageModel:
         pooled, count = np.zeros((len(column), len(self.names))), np.zeros(len(column))
         for s in range(0, len(text), 8192):
             part = slice(s, s + 8192)
-            p = self.labels(self.states(data[:, part]))
-            counted = (real[:, part] & LETTER[data[:, part]]).astype(np.float32)
+            p = self.labels(self.states(data[:, part])[AROUND : AROUND + WINDOW])
+            counted = (real[:, part] & LETTER[data[:, part]])[AROUND : AROUND + WINDOW].astype(np.float32)
             sums = np.einsum("tlb,tb->bl", p, counted)
             np.add.at(pooled, text[part], sums)
             np.add.at(count, text[part], counted.sum(axis=0))
@@ -166,7 +169,7 @@ class LanguageModel:
                     q -= (rate * (m[0] / (1 - 0.9**k)) / (np.sqrt(m[1] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
 
 
-def fit(documents: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 12) -> LanguageModel | None:
+def fit(documents: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 9) -> LanguageModel | None:
     """Fits on at most ``rows`` documents of each of the commonest ``LANGUAGES`` languages, ``each`` windows of each
     document spread over its length; none is held out."""
     known = documents.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~is_held_out(F.col("id")))
