@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import LONGEST, labelled_sample, texts
+from .sampling import labelled_ids
 from .wordscan import IN_WORD, hashes, spans, text_bytes
 from .workspace import is_held_out, slices
 
 STRETCH = 24
 #: Positives, and unlabelled texts, that the model is fitted on, at most.
 SAMPLE = 2500
+#: Columns of measures().
+MEASURES = 18
 SIGNS = np.isin(np.arange(256), [*b"!#$%&*+<=>@\\^_`{|}~"])
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
@@ -58,7 +60,7 @@ def measures(column: pa.Array) -> np.ndarray:
     offsets, data = text_bytes(column)
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros((n, 18))
+        return np.zeros((n, MEASURES))
     starts, ends = spans(offsets, IN_WORD[data])
     first = np.searchsorted(starts, offsets)
     size = ends - starts
@@ -158,9 +160,9 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, mar
 
 
 class QualityModel:
-    def __init__(self, positive: pa.ChunkedArray, unlabelled: pa.ChunkedArray):
+    def __init__(self, p: np.ndarray, u: np.ndarray):
+        """Measures of positives and of unlabelled texts."""
         self.net, self.prior = None, None
-        p, u = (np.concatenate([np.zeros((0, 18)), *(measures(x.column("text")) for x in slices(pa.table({"text": some}).to_batches(), "text"))]) for some in (positive, unlabelled))
         if len(p) > 3 and len(u) > 3:
             self.prior = class_prior(p, u)
             self.net = train(p, u, self.prior, 9)
@@ -170,12 +172,24 @@ class QualityModel:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fits on positives among the labels and on unlabelled texts, at most ``rows`` of either, none of them held out."""
-    trusted = labelled_sample(documents, labels.filter(F.col(label) == 1), label, rows, id_col, text_col)
+    """Fits on positives among the labels and on unlabelled texts, at most ``rows`` of either, none of them held out.
+    Executors measure the whole texts; the driver gets their measures alone."""
+    trusted = labelled_ids(labels.filter(F.col(label) == 1), label, rows, id_col)
     ids = documents.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~is_held_out(F.col("id"))).distinct()
     some = ids.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(rows).withColumn("label", F.lit(-1))
-    web = texts(documents, some, "label", id_col, text_col, LONGEST)
-    return QualityModel(trusted.column("text"), web.column("text"))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = measures(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], ["label", "measures"])
+
+    found = texts.join(F.broadcast(trusted.unionByName(some)), "id").select("label", "text").mapInArrow(measure, "label int, measures array<double>").toArrow()
+    label_of, rows_of = found.column("label").to_numpy(), np.array(found.column("measures").to_pylist(), np.float64).reshape(-1, MEASURES)
+    order = np.lexsort([*rows_of.T, label_of])  # the same at every partitioning
+    label_of, rows_of = label_of[order], rows_of[order]
+    mixed = np.random.default_rng(1).permutation(len(order))
+    return QualityModel(*(rows_of[mixed[label_of[mixed] == k]] for k in (1, -1)))
 
 
 def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
