@@ -6,8 +6,9 @@ the lists of a window's terms, each shifted by the term's place in the window, a
 window of which one term has no posting in the segment costs nothing more.
 
 Words are the runs of ASCII letters (A-Z as a-z), digits and characters from U+0080 on; terms are 64-bit hashes of
-words.  Special input: a null or empty text has no words and no hits; repeated rows are judged one by one; items without
-words match nothing; a null item id counts as the empty text; item ids that repeat count once; an empty table of
+words.  Special input: a null or empty text has no words and no hits; a text of any length is indexed whole, in a segment of its
+own if it is longer than those; repeated rows are judged one by one; items without
+words match nothing; a null item id counts as the empty text; item ids that repeat count once, as do items with equal texts' windows, which are looked up once; ties between terms that are equally rare go to the first; an empty table of
 documents gives no rows, an empty benchmark no hits; other columns of the inputs are ignored.
 """
 
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordscan import scan
+from .wordscan import BASE, mix, scan
 from .workspace import new_dir, slices, stored
 
 WINDOW = 13
+#: Postings of the rarest terms that are followed at a time.
+EXPANDED = 1 << 20
 #: Bytes of benchmark text in one query block; each block is a broadcast of about this size, whatever the benchmark's.
 BLOCK = 6 << 20
 
@@ -80,28 +83,38 @@ class Segment:
         found = self.keys[np.minimum(at, len(self.keys) - 1)]
         return (at < len(self.keys)) & (low <= high) & (found <= term * self.size + high)
 
-    def matches(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, position) of each place where all words of a window stand in its order, each at most ``slop``
-        words off (0: the exact phrase), within one document."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words off (0: the exact phrase), within one document; of some windows at a time."""
         if not len(begin) or not self.size:
-            return none
+            return
         number = self.term_numbers(words)
         many = np.where(number >= 0, self.counts[number], 0)
         places = np.arange(int(length.max()))
-        inside = places < length[:, None]
-        at = np.minimum(begin[:, None] + places, len(words) - 1)
-        counts = np.where(inside, many[at], np.int64(2**62))
-        alive = np.flatnonzero(counts.min(axis=1) > 0)
-        if not len(alive):
-            return none
-        rarest = np.argsort(counts[alive], axis=1, kind="stable")
-        term = number[at[alive, rarest[:, 0].T]]
+        for s in range(0, len(begin), 1 << 15):
+            inside = places < length[s : s + (1 << 15), None]
+            at = np.minimum(begin[s : s + (1 << 15), None] + places, len(words) - 1)
+            counts = np.where(inside, many[at], np.int64(2**62)).min(axis=1)
+            alive = s + np.flatnonzero(counts > 0)
+            done = np.cumsum(counts[alive - s])
+            cuts = np.unique(np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, EXPANDED)))
+            for some in np.split(alive, cuts[cuts > 0]):
+                window, position = self.follow(number, many, begin[some], length[some], slop)
+                yield some[window], position
+
+    def follow(self, number: np.ndarray, many: np.ndarray, begin: np.ndarray, length: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """matches() of windows of which every term occurs, from each one's rarest term on."""
+        if not len(begin):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places = np.arange(int(length.max()))
+        at = np.minimum(begin[:, None] + places, len(number) - 1)
+        rarest = np.argsort(np.where(places < length[:, None], many[at], np.int64(2**62)), axis=1, kind="stable")
+        term = number[at[np.arange(len(begin)), rarest[:, 0]]]
         sizes = self.counts[term]
-        window = np.repeat(np.arange(len(alive)), sizes)
+        window = np.repeat(np.arange(len(begin)), sizes)
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         posting = self.positions[np.repeat(self.begin[term], sizes) + within]
-        size, starts = length[alive], []
+        size, starts = length, []
         for off in range(-slop, slop + 1):  # the rarest term, too, may stand off its place
             position = posting - rarest[window, 0] + off
             last = position + size[window] - 1
@@ -118,22 +131,31 @@ class Segment:
                 break
             place = rarest[window[more], k]
             ok = np.ones(len(window), bool)
-            ok[more] = self.near(number[at[alive[window[more]], place]], position[more] + place, slop)
+            ok[more] = self.near(number[at[window[more], place]], position[more] + place, slop)
             window, position = window[ok], position[ok]
-        return alive[window], position
+        return window, position
 
 
 class Windows:
-    """The windows of some benchmark items, as arrays."""
+    """The distinct windows of some benchmark items, as arrays: window i has words[begin[i]:begin[i] + length[i]] and is
+    in the items item[first[i]:first[i + 1]]."""
 
     def __init__(self, ids: list, texts: pa.Array, window: int = WINDOW):
         self.ids = ["" if x is None else str(x) for x in ids]
         first, self.words = scan(texts)
         size = np.diff(first)
         count = np.where(size >= window, size - window + 1, (size > 0).astype(np.int64))
-        self.item = np.repeat(np.arange(len(size)), count)
-        self.begin = np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count) + first[self.item]
-        self.length = np.minimum(size[self.item], window)
+        item = np.repeat(np.arange(len(size)), count)
+        begin = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[item]
+        length = np.minimum(size[item], window)
+        marks = length.astype(np.uint64)
+        for k in range(window):
+            inside = k < length
+            marks[inside] = mix(marks[inside] * np.uint64(BASE) + self.words[begin[inside] + k])
+        _, one, which = np.unique(marks, return_index=True, return_inverse=True)
+        self.begin, self.length = begin[one], length[one]
+        pairs = np.unique(np.stack([which, item]), axis=1)
+        self.item, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(len(one) + 1))
 
 
 def judge(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
@@ -144,13 +166,15 @@ def judge(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
 
     def one(ids: pa.Array, first: bytes, terms: bytes, counts: bytes, positions: bytes) -> pa.RecordBatch:
         w, segment = sent.value, Segment(first, terms, counts, positions)
-        window, position = segment.matches(w.words, w.begin, w.length, slop)
         n = len(segment.first) - 1
         hits, items = [[] for _ in range(n)], [[] for _ in range(n)]
-        if len(window):
-            steps = np.zeros(segment.size + 1, np.int64)
+        steps, found = np.zeros(segment.size + 1, np.int64), []
+        for window, position in segment.matches(w.words, w.begin, w.length, slop):
             np.add.at(steps, position, 1)
             np.add.at(steps, position + w.length[window], -1)
+            found.append(np.unique(np.stack([segment.document(position), window]), axis=1))
+        pairs = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+        if pairs.size:
             hit = np.cumsum(steps[:-1]) > 0
             edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
             # A run of hits ends at its document's end.
@@ -162,10 +186,9 @@ def judge(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
             for d, a, b in zip((np.searchsorted(segment.first, starts, "right") - 1).tolist(), starts.tolist(), ends.tolist(), strict=True):
                 base = int(segment.first[d])
                 hits[d].append([a - base, b - base])
-            pairs = np.unique(np.stack([np.searchsorted(segment.first, position, "right") - 1, w.item[window]]), axis=1)
-            for d, i in pairs.T.tolist():
-                items[d].append(w.ids[i])
-            items = [sorted(set(x)) for x in items]
+            for d, window in pairs.T.tolist():
+                items[d] += w.item[w.first[window] : w.first[window + 1]].tolist()
+            items = [sorted({w.ids[i] for i in set(x)}) for x in items]
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(segment.first)), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +205,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     A benchmark larger than ``block_bytes`` is taken in blocks; spans and items of a document's blocks are united.
     """
     spark = documents.sparkSession
-    wanted = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    wanted = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     index = stored(positional_index(documents, id_col, text_col), new_dir(spark, "postings"))
