@@ -6,13 +6,17 @@ blocks of bounded size, and a query goes to the blocks that its window of neighb
 compared with the window's vectors by exact cosine; the best of all windows and curves are merged.
 
 How wide windows have to be depends on the vectors, so it is measured: for a bounded sample of queries the true
-neighbours are found by brute force, and the least width is taken at which the curves bring ``recall`` of them together.
+neighbours are found by brute force, and for each number of curves the least width at which they bring ``recall`` of
+those together; the cheapest of these pairs is taken, with windows of at least ``LEAST`` ranks on either side.
 Vectors without structure need windows that are a large share of the table; nothing is dropped then, it only costs more.
 
-Special input: vectors that are null, zero, empty, not of the commonest length or hold a null or non-finite component
-take no part; equal vectors are one point on the curves, and each stands for its least ids; rows that repeat an id and
-vector count once, and a query's own id is never its neighbour; ids that are null take no part; an empty table gives no
-rows; fewer candidates than asked for give fewer ranks; other columns are ignored.
+Before any product, a vector is divided by the power of two next to its largest component, which changes no digit, so that
+very large and small components neither overflow nor vanish.
+
+Special input: vectors that are null, zero, empty or hold a null or non-finite component take no part; a vector that is shorter than others is compared as if zeros
+followed; equal vectors are one point on the curves, and each stands for its least ids; rows that repeat an id and
+vector count once, and a query's own id is never its neighbour; ids that are null take no part; equal scores go to the
+lesser id; an empty table gives no rows; fewer candidates than asked for give fewer ranks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .jaccard import groups
-from .workspace import new_dir, stored
+from .workspace import join_by_key, new_dir, stored
 
 CURVES, DIMS, BITS = 8, 4, 12
-#: Rows of a block, which one task holds at a time; sample of queries, by which windows are measured.
-BLOCK, SAMPLE = 4096, 96
+#: Ranks of a block, which one task holds at a time; the least window; sample of queries, by which windows are measured.
+BLOCK, LEAST, SAMPLE = 1024, 512, 96
 RECALL = 0.96
+#: Scores that differ by no more are told apart by the exact sum alone.
+ROUNDING = 1e-9
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -80,11 +86,17 @@ class Curves:
         return out
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of equal length as float64 rows."""
+def matrix(column: pa.Array, length: int) -> np.ndarray:
+    """Vectors as float64 rows of ``length``, each scaled by a power of two so that its largest component is about 1."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (sizes == length).all():
+        out = values.reshape(len(column), length)
+    else:
+        out, row = np.zeros((len(column), length)), np.repeat(np.arange(len(sizes)), sizes)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, initial=0))[1][:, None])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,33 +104,48 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows with rows, each summed in the same way whatever stands beside it."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Cosines of rows with rows, each summed from the first component to the last, whatever stands beside it."""
+
+    def summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            out += x[:, i] * y[:, i]
+        return out
+
+    return np.clip(summed(a, b) / np.sqrt(summed(a, a) * summed(b, b)), -1, 1)
+
+
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of everything that is among its row's k greatest, or ties with them within rounding; -2 is nothing."""
+    if score.shape[1] > k:
+        line = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        return np.nonzero((score >= line[:, None] - ROUNDING) & (score > -1.5))
+    return np.nonzero(score > -1.5)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    sizes = some.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return some.filter(F.size("vector") == (sizes[0].n if sizes else 0))
+    some = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    return some.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0))
 
 
 def brute_force(points: DataFrame, sample: np.ndarray, own: np.ndarray, k: int) -> list[list[int]]:
     """The k nearest other points of each sampled one, by reading all points once."""
+    length = sample.shape[1]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, score = batch.column("point").to_numpy(), cosines(sample, matrix(batch.column("vector")))
+            ids, score = batch.column("point").to_numpy(), cosines(sample, matrix(batch.column("vector"), length))
             score[own[:, None] == ids] = -2
-            top = np.argsort(-score, axis=1)[:, :k]
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
             q = np.repeat(np.arange(len(own)), top.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[top].ravel()), pa.array(score[q, top.ravel()])], ["q", "point", "score"])
 
+    # Spark cuts each task's rows to the first k of a query before it shuffles them.
+    found = points.mapInArrow(near, "q long, point long, score double").filter("score > -1.5")
     rank = F.row_number().over(W.Window.partitionBy("q").orderBy(F.desc("score"), "point"))
-    best = points.mapInArrow(near, "q long, point long, score double").filter("score > -1.5").withColumn("rank", rank).filter(f"rank <= {k}").collect()
+    best = found.withColumn("rank", rank).filter(f"rank <= {k}").collect()
     out: list[list[int]] = [[] for _ in own]
     for r in best:
         out[r.q].append(r.point)
@@ -127,13 +154,13 @@ def brute_force(points: DataFrame, sample: np.ndarray, own: np.ndarray, k: int)
 
 def ranked(points: DataFrame, curves: Curves) -> tuple[DataFrame, int]:
     """(point, curve, rank) of every point on every curve, and how many points there are."""
-    spark = points.sparkSession
+    spark, length = points.sparkSession, len(curves.directions[0])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = matrix(batch.column("vector"))
+            m = matrix(batch.column("vector"), length)
             for c, key in enumerate(curves.keys(m / np.sqrt((m * m).sum(axis=1))[:, None])):
                 yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(np.full(len(key), c)), pa.array(key)], ["point", "curve", "key"])
 
@@ -173,50 +200,62 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     least = stored(least, new_dir(spark, "ids"))
     point = least.filter("nth = 1").select("a", "b", F.col("vec_id").alias("point"))
     ids = least.join(point, ["a", "b"]).select("point", "vec_id")
-    queries = marks.filter(is_query).join(point, ["a", "b"]).select(F.col("vec_id").alias("query_id"), "point")
-    queries = stored(queries, new_dir(spark, "queries"))
+    # A vector may be that of very many queries.
+    wanted = marks.filter(is_query).select(F.col("vec_id").alias("query_id"), F.struct("a", "b").alias("own"))
+    owners = wanted.groupBy("own").agg(F.count("*").alias("many")).join(point.select(F.struct("a", "b").alias("own"), "point"), "own")
+    owners = stored(owners, new_dir(spark, "owners"))
+    queries = stored(join_by_key(wanted, owners, "own", "many", marks.count()).select("query_id", "point"), new_dir(spark, "queries"))
     hashed = some.select("vec_id", "vector", F.xxhash64("vector").alias("a"), F.hash("vector").alias("b"))
-    asked = queries.select("point").distinct().withColumn("asked", F.lit(True))
+    asked = owners.select("point").withColumn("asked", F.lit(True))
     points = hashed.join(point.withColumnRenamed("point", "vec_id"), ["a", "b", "vec_id"], "left_semi").select(F.col("vec_id").alias("point"), "vector").dropDuplicates(["point"])
     points = stored(points.join(asked, "point", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), new_dir(spark, "points"))
-    one = points.select(F.size("vector").alias("n")).first()
-    if one is None:
+    length = points.agg(F.max(F.size("vector"))).first()[0]
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranks, n = ranked(points.select("point", "vector"), Curves(one.n, curves))
+    ranks, n = ranked(points.select("point", "vector"), Curves(length, curves))
     if width is None:
-        width = measured_width(points, ranks, n, k, recall)
-    kept = max(1, BLOCK // 4)
-    block = F.col("curve") * (n // kept + 2) + F.floor(F.col("at") / kept)
+        curves, width = measured_width(points, ranks, n, k, recall, curves, length)
+        ranks = ranks.filter(F.col("curve") < curves)
+    block = F.col("curve") * (n // BLOCK + 2) + F.floor(F.col("at") / BLOCK)
     placed = ranks.join(points, "point")
     rows = placed.select(F.col("curve"), F.col("rank").alias("at"), F.lit(0).alias("kind"), "point", "rank", "vector")
     low, high = F.greatest(F.col("rank") - width, F.lit(0)), F.least(F.col("rank") + width, F.lit(n - 1))
-    asks = placed.filter("asked").select("curve", F.explode(F.sequence(F.floor(low / kept) * kept, F.floor(high / kept) * kept, F.lit(kept).cast("long"))).alias("at"), F.lit(1).alias("kind"), "point", "rank", "vector")
+    asks = placed.filter("asked").select("curve", F.explode(F.sequence(F.floor(low / BLOCK) * BLOCK, F.floor(high / BLOCK) * BLOCK, F.lit(BLOCK).cast("long"))).alias("at"), F.lit(1).alias("kind"), "point", "rank", "vector")
     both = rows.unionByName(asks).select(block.alias("block"), "kind", "point", "rank", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None,)
-        for t in groups(batches, ["block", "kind"]):
-            blocks, kinds = t.column("block").to_numpy(), t.column("kind").to_numpy()
+        """A block's own vectors come first and are held; queries are compared as they come, a batch at a time."""
+        held: list[tuple] = []
+        now, merged = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, kinds, point, rank = (batch.column(x).to_numpy() for x in ("block", "kind", "point", "rank"))
+            vector = matrix(batch.column("vector"), length)
             cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = t.slice(lo, hi - lo)
-                own, at, m = part.column("point").to_numpy(), part.column("rank").to_numpy(), matrix(part.column("vector"))
+                if blocks[lo] != now:
+                    held, now, merged = [], blocks[lo], None
                 if not kinds[lo]:
-                    held = (blocks[lo], own, at, m)
+                    held.append((point[lo:hi], rank[lo:hi], vector[lo:hi]))
                     continue
-                if held[0] != blocks[lo]:
+                if merged is None and held:
+                    merged = [np.concatenate(x) for x in zip(*held, strict=True)]
+                if merged is None:
                     continue
-                for s in range(0, len(own), 512):
-                    q, where, mine = own[s : s + 512], at[s : s + 512], m[s : s + 512]
-                    score = cosines(mine, held[3])
-                    score[(np.abs(where[:, None] - held[2]) > width) | (q[:, None] == held[1])] = -2
-                    take = min(k + 3, score.shape[1])
-                    top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                    r = np.repeat(np.arange(len(q)), take)
-                    c = top.ravel()
-                    ok = score[r, c] > -1.5
-                    r, c = r[ok], c[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(held[1][c]), pa.array(exact(mine[r], held[3][c]))], ["query", "point", "score"])
+                own, at, m = merged
+                for s in range(lo, hi, 512):
+                    part = slice(s, min(s + 512, hi))
+                    q, mine = point[part], vector[part]
+                    score = cosines(mine, m)
+                    score[(np.abs(rank[part][:, None] - at) > width) | (q[:, None] == own)] = -2
+                    r, c = best_of(score, k)
+                    value = exact(mine[r], m[c])
+                    # Of ties the lesser ids stay.
+                    order = np.lexsort((own[c], -value, r))
+                    r, c, value = r[order], c[order], value[order]
+                    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q[r[first]]), pa.array(own[c[first]]), pa.array(value[first])], ["query", "point", "score"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(search, "query long, point long, score double")
@@ -226,27 +265,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = matrix(batch.column("vector"))
+                m = matrix(batch.column("vector"), length)
                 yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("point"), pa.array(exact(m, m))], ["query", "point", "score"])
 
     best = stored(best.unionByName(points.filter("asked").select("point", "vector").mapInArrow(itself, "query long, point long, score double")), new_dir(spark, "best"))
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = queries.withColumnRenamed("point", "query").join(best, "query").join(ids, "point").filter("vec_id != query_id")
+    found = best.join(ids, "point").select("query", "vec_id", "score").join(owners.select(F.col("point").alias("query"), "many"), "query")
+    found = found.groupBy("query").agg(F.max("many").alias("many"), F.collect_list(F.struct("vec_id", "score")).alias("found"))  # at most (k + 1) * (k + 1)
+    out = join_by_key(queries.withColumnRenamed("point", "query"), found, "query", "many", n).select("query_id", F.explode("found").alias("x")).select("query_id", "x.*").filter("vec_id != query_id")
     out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return out.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
-def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall: float) -> int:
-    """The least window at which the sampled queries' true neighbours stand within it on some curve, for a share of
-    ``recall``.  The sample is at most SAMPLE queries, the same at every size."""
-    some = points.filter("asked").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).collect()
-    if not some:
-        return 1
-    own = np.array([r.point for r in some])
-    true = brute_force(points.select("point", "vector"), np.array([r.vector for r in some], np.float64), own, k)
-    wanted = sorted({*own.tolist(), *(x for row in true for x in row)})
+def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall: float, curves: int, length: int) -> tuple[int, int]:
+    """(curves, width): of all numbers of curves, each with the least window at which the sampled queries' true neighbours
+    stand within it on some curve, for a share of ``recall``, the one that compares the fewest vectors.  The sample is at
+    most SAMPLE queries, the same at every size."""
+    some = points.filter("asked").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "vector").toArrow()
+    if not some.num_rows:
+        return 1, LEAST
+    own = some.column("point").to_numpy()
+    true = brute_force(points.select("point", "vector"), matrix(some.column("vector"), length), own, k)
+    wanted = points.sparkSession.createDataFrame([(x,) for x in sorted({*own.tolist(), *(x for row in true for x in row)})], "point long")
     at: dict[int, dict[int, int]] = {}
-    for r in ranks.filter(F.col("point").isin(wanted)).collect():
+    for r in ranks.join(F.broadcast(wanted), "point").collect():  # at most SAMPLE * (k + 1) points
         at.setdefault(r.point, {})[r.curve] = r["rank"]
-    apart = sorted(min(abs(at[q][c] - at[x][c]) for c in at[q]) for q, row in zip(own.tolist(), true, strict=True) for x in row)
-    return apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))] + 1 if apart else 1
+    apart = np.array([[abs(at[q][c] - at[x][c]) for c in range(curves)] for q, row in zip(own.tolist(), true, strict=True) for x in row])
+    if not len(apart):
+        return 1, LEAST
+    widths = [max(LEAST, int(np.sort(apart[:, :c].min(axis=1))[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1) for c in range(1, curves + 1)]
+    cost = [(c + 1) * min(n, 2 * w + BLOCK) for c, w in enumerate(widths)]
+    best = int(np.argmin(cost))
+    return best + 1, widths[best]
