@@ -330,7 +330,7 @@ def best_fit_pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, en
         held = base.toArrow().sort_by([("part", "ascending"), ("length", "ascending")])
         part, length, before = (held.column(x).to_numpy() for x in ("part", "length", "before"))
         kinds, at = np.unique(part, return_index=True)
-        offsets = {p: (length[i:j].astype(np.int32), before[i:j]) for p, i, j in zip(kinds.tolist(), at, [*at[1:], len(part)], strict=True)}
+        offsets = {p: (length[i:j].astype(np.int32), before[i:j]) for p, i, j in zip(kinds.tolist(), at, [*at, len(part)][1:], strict=True)}
     else:
         offsets, cut = None, cut.join(base, ["length", "part"])
     schema = T.StructType([*(f for f in cut.schema if f.name not in ("part", "nth", "before")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
