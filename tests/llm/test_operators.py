@@ -221,11 +221,11 @@ ODD_SECRETS = [
 
 
 def test_secrets_keep_base_findings(spark, documents):
-    from tamarind.llm.secrets import find_secrets, fit, redact
+    from tamarind.llm.secrets import find_secrets, fit
 
     docs = spark.createDataFrame([*enumerate(ODD_SECRETS), *((1000 + i, t) for i, t in documents.items())], "doc_id long, text string")
     detector = fit(docs)
-    found = find_secrets(docs, detector, keep=("text",)).select("*", redact(F.col("text"), F.col("findings")).alias("masked")).collect()
+    found = find_secrets(docs, detector, keep=("text",), redacted="masked").collect()
     assert len(found) == len(ODD_SECRETS) + len(documents)
     for r in found:
         text = r.text or ""
@@ -295,7 +295,7 @@ def test_windows_cover_the_candidate(length):
 
 
 def test_secret_candidates_beyond_base_findings_and_short_ones(spark, documents):
-    from tamarind.llm.secrets import base_spans, candidates, find_secrets, fit, redact
+    from tamarind.llm.secrets import base_spans, candidates, find_secrets, fit
 
     long = "0123456789abcdef" * 2
     for text, want in {f"a {long}": [], f"token={long} b": [], f"a {long}-tail": [(2, 39)], f"key-{long} b": [(0, 36)], "abcdefghijklmnop": [(0, 16)], "1234567890123456": [(0, 16)], "abcdefghijklmno": [], "-" * 40: []}.items():
@@ -305,8 +305,8 @@ def test_secret_candidates_beyond_base_findings_and_short_ones(spark, documents)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     makes = {"composite": lambda: f"xkeysib-{''.join(rng.choices('0123456789abcdef', k=64))}-{''.join(rng.choices(letters + '0123456789', k=16))}", "short": lambda: "".join(rng.choices(letters + "0123456789", k=16)), "letters": lambda: "".join(rng.choices(letters, k=32))}
     rows = [(k, make, key, f"before the {key} and after") for make, f in makes.items() for k, key in enumerate(f() for _ in range(40))]
-    found = find_secrets(spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string"), detector, keep=("text",))
-    masked = {r.doc_id: r.masked for r in found.select("doc_id", redact(F.col("text"), F.col("findings")).alias("masked")).collect()}
+    found = find_secrets(spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string"), detector, redacted="masked")
+    masked = {r.doc_id: r.masked for r in found.collect()}
     hidden = Counter(r[1] for i, r in enumerate(rows) if masked[i] == "before the [SECRET] and after")
     assert hidden["composite"] >= 38 and hidden["short"] >= 28 and hidden["letters"] >= 36
 
