@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dml import same
+from ..operators import dml
 from ..sources.catalog import Catalog
 
 SCHEMA = "key binary, xmin long, deleted boolean, value binary"
@@ -37,8 +37,12 @@ def apply(changes: DataFrame, catalog: Catalog, table: str, checkpoint: str) ->
 
     def one(batch: DataFrame, number: int) -> None:
         names = [n for n, _ in t.columns]
-        newest = batch.groupBy(*t.key).agg(F.max_by(F.struct("deleted", *names), "xmin").alias("v")).select("v.*")
-        kept = catalog.read(table).alias("old").join(newest.alias("new"), same(t.key, "old", "new"), "left_anti")
-        catalog.replace(table, kept.unionByName(newest.filter("not deleted").select(*names)))
+        newest = batch.groupBy(*t.key).agg(F.max_by(F.struct("deleted", *names), "xmin").alias("v")).select("v.*").persist()
+        try:
+            # Only files with rows of the batch are written anew.
+            dml.delete(catalog, table, newest.filter("deleted").select(*t.key), missing_ok=True)
+            dml.upsert(catalog, table, newest.filter("not deleted").select(*names))
+        finally:
+            newest.unpersist()
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

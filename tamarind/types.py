@@ -32,7 +32,7 @@ def literal_kind(value: object) -> str:
 
 
 #: What Spark's own numeric and time columns take besides: literals that convert without loss.
-LAX = {"double": "INT", "float": "INT", "timestamp": "TEXT", "date": "TEXT"}
+LAX = {"double": "INT", "float": "INT", "timestamp": "TEXT", "timestamp_ntz": "TEXT", "date": "TEXT"}
 
 
 def coerce(value: object, kind: str, what: str = "value") -> object:
