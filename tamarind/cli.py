@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .engine import Engine, Result
 from .errors import EngineError
+from .transactions import LEVELS, REPEATABLE_READ
 
 
 def cell(value: object) -> str:
@@ -33,9 +34,11 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     p.add_argument("-d", "--database", required=True, help="folder of the tables")
     p.add_argument("-e", "--execute", help="a script to run")
     p.add_argument("-f", "--file", help="a file with a script to run")
+    p.add_argument("-b", "--budget", type=float, help="rows that a sort or hash table holds before a spill is counted")
+    p.add_argument("-l", "--level", choices=LEVELS, default=REPEATABLE_READ, help="isolation of the session")
     p.add_argument("-q", "--quiet", action="store_true", help="rows only")
     a = p.parse_args(args)
-    engine = Engine(SparkSession.builder.getOrCreate(), a.database)
+    engine = Engine(SparkSession.builder.getOrCreate(), a.database, budget=a.budget, level=a.level)
 
     def run(text: str) -> bool:
         try:

@@ -8,12 +8,13 @@ break-even selectivity; how each path runs is Catalyst's.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+from ..sources.catalog import FILE, Catalog
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def selectivity(stats: dict | None, column: str, low: object, high: object) -> f
         return 0.5
     s, rows = stats["columns"][column], max(1, stats["rows"])
     try:
-        least, most = float(s["min"]), float(s["max"])
+        least, most = float(stats.get("least", {}).get(column, s["min"])), float(s["max"])
     except (TypeError, ValueError):
         return max(1 / rows, 1 / max(1, s["distinct"]))
     lo, hi = least if low is None else float(low), most + 1 if high is None else float(high)
@@ -78,22 +79,38 @@ def paths(catalog: Catalog, q: RangeQuery, model: CostModel = CostModel()) -> li
 
 
 def run(catalog: Catalog, q: RangeQuery, path: Path | None = None) -> DataFrame:
-    """The query by a path: the cheapest unless one is given."""
+    """The query by a path: the cheapest unless one is given.  An index scan first looks up which files hold the rows of its
+    entries, and opens only those."""
     path = path or paths(catalog, q)[0]
     c, conditions = F.col(q.column), []
     if q.low is not None:
         conditions.append(c >= F.lit(q.low))
     if q.high is not None:
         conditions.append(c < F.lit(q.high))
-    source = catalog.read(q.table) if path.kind == "SeqScan" else catalog.read_index(path.index)
+    if path.kind == "SeqScan":
+        source = catalog.read(q.table)
+    elif path.kind == "IndexOnlyScan" or catalog.table(q.table).path:
+        source = catalog.read_index(path.index)
+    else:
+        source = catalog.open_index(path.index, catalog.index_files(path.index))
     for condition in conditions:
         source = source.filter(condition)
     if path.kind == "IndexScan":
-        key = catalog.table(q.table).key
-        source = catalog.read(q.table).join(source.select(*key), key, "left_semi")
+        source = fetch(catalog, q.table, source)
     return source.select(*q.need)
 
 
+def fetch(catalog: Catalog, table: str, entries: DataFrame) -> DataFrame:
+    """The rows of a table with the primary keys of some entries; of files that hold none of them nothing is read, if the
+    entries name theirs."""
+    t = catalog.table(table)
+    base = catalog.read(table)
+    if FILE in entries.columns:
+        names = {r[FILE] for r in entries.select(FILE).distinct().collect()}  # names of files alone
+        base = catalog.open(t, [(s, [f for f in files if f.name in names]) for s, files in catalog.files(table)])
+    return base.join(entries.select(*t.key).distinct(), t.key, "left_semi")
+
+
 def get(catalog: Catalog, table: str, key: tuple) -> dict | None:
     """The row of a primary key, or None."""
     t = catalog.table(table)
@@ -104,23 +121,47 @@ def get(catalog: Catalog, table: str, key: tuple) -> dict | None:
     return found[0].asDict() if found else None
 
 
-def scan_range(catalog: Catalog, table: str, low: tuple = (), high: tuple | None = None) -> DataFrame:
-    """Rows with low <= primary key < high, as tuples (prefixes are allowed), in key order."""
-    t = catalog.table(table)
+def before(columns: list[str], values: tuple):
+    """columns < values, by the first column that differs; NULL is the least value, and fewer values are a prefix."""
+    out = F.lit(False)
+    for k, v in reversed(list(zip(columns, values, strict=False))):
+        c = F.col(f"`{k}`")
+        out = (c.isNull() | (c < F.lit(v)) if v is not None else F.lit(False)) | (c.eqNullSafe(F.lit(v)) & out)
+    return out
 
-    def before(values: tuple):
-        """key < values, by the first column that differs."""
-        out = F.lit(False)
-        for k, v in reversed(list(zip(t.key, values, strict=False))):
-            out = (F.col(k) < F.lit(v)) | ((F.col(k) == F.lit(v)) & out)
-        return out
 
-    frame = catalog.read(table)
+def between(frame: DataFrame, columns: list[str], low: tuple, high: tuple | None) -> DataFrame:
+    """low <= columns < high, in their order."""
     if low:
-        frame = frame.filter(~before(low))
+        frame = frame.filter(~before(columns, low))
     if high is not None:
-        frame = frame.filter(before(high))
-    return frame.orderBy(*(F.col(k).asc_nulls_first() for k in t.key))
+        frame = frame.filter(before(columns, high))
+    return frame.orderBy(*(F.col(f"`{k}`").asc_nulls_first() for k in columns))
+
+
+def scan_range(catalog: Catalog, table: str, low: tuple = (), high: tuple | None = None) -> DataFrame:
+    """Rows with low <= primary key < high, as tuples (prefixes are allowed), in key order."""
+    return between(catalog.read(table), catalog.table(table).key, low, high)
+
+
+def scan_index(catalog: Catalog, index: str, low: tuple = (), high: tuple | None = None) -> DataFrame:
+    """Entries (index columns, primary key) with low <= index columns < high, in their order."""
+    return between(catalog.read_index(index), catalog.projection_columns(catalog.index(index)), low, high)
+
+
+def pull(frame: DataFrame) -> Iterator[tuple]:
+    """Rows one by one, a partition at a time; whoever stops taking them stops the work."""
+    for r in frame.toLocalIterator():
+        yield tuple(r)
+
+
+def push(frame: DataFrame, row: Callable[[tuple], bool | None]) -> int:
+    """Hands rows to a callback until it returns False; how many it was given."""
+    n = 0
+    for n, r in enumerate(pull(frame), 1):
+        if row(r) is False:
+            break
+    return n
 
 
 def crossover(points: list[tuple[float, float, float]]) -> float | None:
