@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scenarios
 from .functions import keycodec
 from .operators import statistics
 from .plans.binder import Binder
@@ -35,7 +36,7 @@ SQL = {
     "cross": "select n.n_name, r.r_name from nation n join region r on true",
     "cross_constant": "select n.n_name, r.r_name from nation n join region r on 1 = 1",
     "self": "select a.n_nationkey x, b.n_nationkey y from nation a join nation b on a.n_regionkey = b.n_regionkey",
-    "two_keys": "select a.l_orderkey k, a.l_linenumber n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where a.l_orderkey < 100",
+    "two_keys": "select a.l_orderkey k, a.l_linenumber n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber",
     "equi_extra": "select o.o_orderkey, l.l_linenumber from orders o join lineitem l on o.o_orderkey = l.l_orderkey and o.o_totalprice < l.l_extendedprice",
     "or_cross_rel": "select o.o_orderkey, c.c_custkey from orders o join customer c on o.o_custkey = c.c_custkey where o.o_orderkey < 10 or c.c_nationkey = 3",
     "on_single_side": "select o.o_orderkey, c.c_custkey from orders o inner join customer c on o.o_custkey = c.c_custkey and o.o_orderkey < 50",
@@ -144,6 +145,6 @@ FUNCTION_SQL = {
     "transfer_sum": "select sum(o_custkey)::bigint as total from orders",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: by_sql(v) for k, v in SQL.items()} | FUNCTIONS
-ORACLES = {k: ELSEWHERE.get(k, v) for k, v in SQL.items()} | FUNCTION_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: by_sql(v) for k, v in SQL.items()} | FUNCTIONS | scenarios.QUERIES
+ORACLES = {k: ELSEWHERE.get(k, v) for k, v in SQL.items()} | FUNCTION_SQL | scenarios.ORACLES
 FLAGSHIP = "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey and c.c_custkey < 25 order by o.o_orderkey limit 10"

@@ -1,14 +1,14 @@
 """Key codec, versions, transactions and streams."""
 
-import threading
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tamarind import anomalies
 from tamarind import transactions as tx
-from tamarind.errors import ChainFull, Conflict, Deadlock, ReservedKey, Retryable, TransactionDone
+from tamarind.anomalies import ANOMALIES, store
+from tamarind.errors import ChainFull, Conflict, ReservedKey, TransactionDone
 from tamarind.functions.keycodec import Unsigned, compare, decode, encode, encoded_key, prefix_end
 from tamarind.sources import versions
 
@@ -46,133 +46,15 @@ def test_keys_as_columns(spark):
         assert got == [encode([b, i, None if u is None else Unsigned(u), t], [descending, False, descending, descending]) for b, i, u, t in rows]
 
 
-def store(**initial):
-    s = tx.Store(timeout=2.0)
-    s.update(lambda t: [t.put(k.encode(), v) for k, v in initial.items()])
-    return s
-
-
-def dirty_read(level):
-    s = store(a=b"1")
-    writer, reader = s.begin(), s.begin(level)
-    if level == tx.SERIALIZABLE:
-        writer.writes[b"a"] = tx.Version(writer.number, False, b"2")
-    else:
-        writer.put(b"a", b"2")
-    got = reader.get(b"a")
-    writer.abort(), reader.abort()
-    return got == b"2"
-
-
-def changed_between_reads(level, work, read):
-    s = store(a=b"1")
-    reader = s.begin(level)
-    before = read(reader)
-    other = threading.Thread(target=lambda: _quiet(lambda: s.update(work, level, attempts=1)))
-    other.start()
-    other.join(0.3)
-    after = read(reader)
-    reader.abort()
-    other.join()
-    return before != after
-
-
-def _quiet(work):
-    try:
-        work()
-    except Retryable:
-        pass
-
-
-def lost_update(level):
-    s = store(a=b"0")
-    gate = threading.Barrier(2, timeout=5)
-
-    def add():
-        t = s.begin(level)
-        try:
-            n = int(t.get(b"a"))
-            gate.wait()
-            t.put(b"a", b"%d" % (n + 1))
-            t.commit()
-            done.append(1)
-        except Retryable:
-            t.abort()
-
-    done = []
-    _both(add, add)
-    return len(done) == 2 and s.view(lambda t: t.get(b"a")) == b"1"
-
-
-def write_skew(level):
-    s = store(a=b"1", b=b"1")
-    gate = threading.Barrier(2, timeout=5)
-    done, errors = [], []
-
-    def leave(mine, other):
-        t = s.begin(level)
-        try:
-            both = int(t.get(mine)) + int(t.get(other))
-            gate.wait()
-            if both == 2:
-                t.put(mine, b"0")
-            t.commit()
-            done.append(1)
-        except Retryable as e:
-            errors.append(e)
-            t.abort()
-
-    _both(lambda: leave(b"a", b"b"), lambda: leave(b"b", b"a"))
-    if level == tx.SERIALIZABLE:
-        assert all(isinstance(e, Deadlock) for e in errors) and errors
-    return len(done) == 2
-
-
-def _both(*works):
-    threads = [threading.Thread(target=w) for w in works]
-    for t in threads:
-        t.start()
-    for t in threads:
-        t.join()
-
-
-# At which levels each anomaly has to occur.
-ANOMALIES = {
-    "dirty": (dirty_read, "YNNN"),
-    "unrepeatable": (lambda level: changed_between_reads(level, lambda t: t.put(b"a", b"2"), lambda t: t.get(b"a")), "YYNN"),
-    "phantom": (lambda level: changed_between_reads(level, lambda t: t.put(b"c", b"2"), lambda t: t.count()), "YYNN"),
-    "lost update": (lost_update, "YYNN"),
-    "write skew": (write_skew, "YYYN"),
-}
-
-
 @pytest.mark.parametrize("name", ANOMALIES)
 @pytest.mark.parametrize("k", range(4))
 def test_anomalies(name, k):
-    probe, where = ANOMALIES[name]
-    assert probe(tx.LEVELS[k]) == (where[k] == "Y")
+    assert anomalies.occurs(name, tx.LEVELS[k]) == (ANOMALIES[name][1][k] == "Y")
 
 
 @pytest.mark.parametrize("level", [tx.REPEATABLE_READ, tx.SERIALIZABLE])
 def test_transfers_keep_the_sum(level):
-    s = store(**{f"acct{k}": b"1000" for k in range(4)})
-
-    def move(seed):
-        import random
-
-        rng = random.Random(seed)
-        for _ in range(15):
-            a, b = rng.sample(range(4), 2)
-
-            def work(t, a=a, b=b):
-                x, y = (int(t.get(b"acct%d" % k)) for k in (a, b))
-                t.put(b"acct%d" % a, b"%d" % (x - 7))
-                t.put(b"acct%d" % b, b"%d" % (y + 7))
-
-            s.update(work, level, attempts=500)
-
-    _both(*(lambda k=k: move(k) for k in range(4)))
-    assert s.view(lambda t: sum(int(v) for _, v in t.scan())) == 4000
+    assert anomalies.transfers(level) == 4000
 
 
 def test_first_committer_wins_and_ends():
