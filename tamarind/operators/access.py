@@ -104,8 +104,8 @@ def fetch(catalog: Catalog, table: str, entries: DataFrame) -> DataFrame:
     """The rows of a table with the primary keys of some entries; of files that hold none of them nothing is read, if the
     entries name theirs."""
     t = catalog.table(table)
-    base = catalog.read(table)
-    if FILE in entries.columns:
+    base = catalog.read(table) if FILE not in entries.columns else None
+    if base is None:
         names = {r[FILE] for r in entries.select(FILE).distinct().collect()}  # names of files alone
         base = catalog.open(t, [(s, [f for f in files if f.name in names]) for s, files in catalog.files(table)])
     return base.join(entries.select(*t.key).distinct(), t.key, "left_semi")

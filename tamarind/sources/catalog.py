@@ -30,6 +30,8 @@ from .store import Store
 FILE = "_file"
 #: Segments of a table before they are merged into one; catalog files that are kept.
 MOST_SEGMENTS, KEPT = 32, 5
+#: Rows of a file, at most: with the sort by key, what a range or a top-k has to open.
+ROWS_A_FILE = 1_000_000
 
 
 @dataclass
@@ -87,8 +89,8 @@ def plain(value: object) -> object:
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.store = spark, root, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, rows_a_file: int = ROWS_A_FILE):
+        self.spark, self.root, self.store, self.rows_a_file = spark, root, Store(spark, root), rows_a_file
         self.load()
 
     def load(self) -> None:
@@ -177,7 +179,7 @@ class Catalog:
     def write_projection(self, index: Index, table: Table, segment: Segment) -> list[File]:
         columns = self.projection_columns(index)
         rows = self.open(table, [(segment, segment.files)]).select(*columns, file_name().alias(FILE))
-        rows.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path := self.projection_path(index, segment))
+        rows.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").option("maxRecordsPerFile", self.rows_a_file).parquet(path := self.projection_path(index, segment))
         return self.measured(path, rows.schema, columns[0])
 
     def measured(self, path: str, schema: T.StructType, column: str) -> list[File]:
@@ -229,7 +231,7 @@ class Catalog:
         if t.path:
             raise BindError(f"{name} is an outside table and can only be read")
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.select(*(F.col(f"`{n}`").cast(SPARK[k]).alias(n) for n, k in t.columns)).repartitionByRange(*t.key).sortWithinPartitions(*t.key).write.parquet(path)
+        rows.select(*(F.col(f"`{n}`").cast(SPARK[k]).alias(n) for n, k in t.columns)).repartitionByRange(*t.key).sortWithinPartitions(*t.key).write.option("maxRecordsPerFile", self.rows_a_file).parquet(path)
         return Segment(path, self.measured(path, t.schema, t.key[0]))
 
     def discard(self, segment: Segment) -> None:
