@@ -43,6 +43,7 @@ WORD, PIECE = np.array([32, 8]), np.array([16, 4])
 STEP = PIECE + 3 - np.array([max(NARROW_GRAMS), max(WIDE_GRAMS)])
 #: Small letters of the alphabets that have them below this code point; others stay as they are.
 CASED = 0x590
+WORDY = np.concatenate([IN_WORD[:128], np.ones(CASED - 128, bool)])
 SMALL = np.array([ord(c) if len(c := chr(k).lower()) == 1 else k for k in range(CASED)], np.uint32)
 #: Rows of n-grams that are held at a time.
 ROWS = 1 << 14
@@ -105,13 +106,14 @@ class Words(NamedTuple):
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     """(first, place, words): place numbers each word or piece of the texts among the distinct ones."""
     offsets, data = characters(*text_bytes(column))
-    data = np.where(data < CASED, SMALL[np.minimum(data, CASED - 1)], data)
-    starts, ends = spans(offsets, (data >= 128) | IN_WORD[np.minimum(data, 128)])
+    plain = not len(data) or int(data.max()) < CASED
+    data = SMALL[data] if plain else np.where(data < CASED, SMALL[np.minimum(data, CASED - 1)], data)
+    starts, ends = spans(offsets, WORDY[data] if plain else (data >= CASED) | WORDY[np.minimum(data, CASED - 1)])
     first = np.searchsorted(starts, offsets)
     marks, some, place = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
     starts, ends = starts[some], ends[some]
-    seen = np.concatenate([[0], np.cumsum(data >= WIDE)])
-    wide = (seen[ends] > seen[starts]).astype(np.int64)
+    seen = np.flatnonzero(data >= WIDE) if not plain else starts[:0]
+    wide = (np.searchsorted(seen, ends) > np.searchsorted(seen, starts)).astype(np.int64)
     piece, step = PIECE[wide], STEP[wide]
     many = np.where(ends - starts > WORD[wide], (ends - starts - piece + step - 1) // step + 1, 1)
     begin = np.cumsum(many) - many

@@ -80,12 +80,15 @@ def characters(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
         return offsets, data.astype(np.uint32)
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
-    b = [np.append(data, np.zeros(3, np.uint8))[at + k].astype(np.uint32) for k in range(4)]
+    points = data[at].astype(np.uint32)
+    many = np.flatnonzero(points >= 0x80)
+    padded = np.append(data, np.zeros(3, np.uint8))
+    b = [padded[at[many] + k].astype(np.uint32) for k in range(4)]
     low = [x & 0x3F for x in b]
     two, three = (b[0] & 0x1F) << 6 | low[1], (b[0] & 0x0F) << 12 | low[1] << 6 | low[2]
     four = (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
-    points = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
-    return np.concatenate([[0], np.cumsum(lead)])[offsets], points
+    points[many] = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+    return np.searchsorted(at, offsets), points
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
