@@ -7,10 +7,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from .engine import Engine
 from .operators import access, dml
+from .plans.parser import parse
 from .sources.catalog import Catalog
 
 
@@ -83,3 +86,58 @@ def maintenance_tax(catalog: Catalog, table: str, rows: Callable[[int], list[tup
         dml.insert(catalog, table, rows(k))
         found.append(time.perf_counter() - began)
     return found
+
+
+def stages(engine: Engine, text: str, times: int = 5) -> dict[str, float]:
+    """Seconds of a SELECT by stage: parsing, binding (with the choice of paths), Spark's planning, and running."""
+
+    def planned() -> None:
+        frame = engine.query(text)
+        frame._jdf.queryExecution().executedPlan()
+
+    parsing = median_seconds(lambda: parse(text), times)
+    binding = median_seconds(lambda: engine.bind(parse(text)), times) - parsing
+    planning = median_seconds(planned, times) - binding - parsing
+    frame = engine.query(text)
+    return {"parse": parsing, "bind": max(0.0, binding), "plan": max(0.0, planning), "run": median_seconds(lambda: discard(frame), times)}
+
+
+def with_and_without(spark: SparkSession, conf: dict[str, str], work: Callable[[], object], times: int = 3) -> tuple[float, float]:
+    """Seconds with the settings and without them."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        changed = median_seconds(work, times)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return changed, median_seconds(work, times)
+
+
+def spilling(spark: SparkSession, frame: DataFrame, by: str, budgets: tuple[int, ...] = (2_000, 1_000_000), times: int = 3) -> dict[int, float]:
+    """Seconds of counting each group's rows beside them, by the rows that a task may hold before it spills."""
+    held = frame.withColumn("_n", F.count("*").over(W.Window.partitionBy(by)))
+    conf = ("spark.sql.windowExec.buffer.in.memory.threshold", "spark.sql.windowExec.buffer.spill.threshold")
+    return {rows: with_and_without(spark, dict.fromkeys(conf, str(rows)), lambda: discard(held), times)[0] for rows in budgets}
+
+
+def order_gain(engine: Engine, text: str, times: int = 3) -> tuple[float, float]:
+    """Seconds of a SELECT with ORDER BY as it is planned, and with all its rows sorted."""
+    bound = engine.bind(parse(text))
+    s = bound.statement
+    plain = engine.bind(parse(str(type(s)(**{f: getattr(s, f) for f in s.__dataclass_fields__} | {"order": type(s.order)(), "limit": None})))).frame
+    columns = [F.col(f"`{e.column}`").desc_nulls_last() if d else F.col(f"`{e.column}`").asc_nulls_first() for e, d in s.order]
+    ordered = plain.orderBy(*columns)
+    return median_seconds(lambda: discard(bound.frame), times), median_seconds(lambda: discard(ordered if s.limit is None else ordered.limit(s.limit)), times)
+
+
+def commits(engine: Engine, table: str, rows: Callable[[int], list[tuple]], n: int) -> tuple[float, float]:
+    """Seconds of ``n`` inserts of a row each, and of one insert of as many."""
+    began = time.perf_counter()
+    for k in range(n):
+        dml.insert(engine.catalog, table, [rows(n)[k]])
+    single = time.perf_counter() - began
+    began = time.perf_counter()
+    dml.insert(engine.catalog, table, rows(2 * n)[n:])
+    return single, time.perf_counter() - began

@@ -20,3 +20,19 @@ def test_labs(spark, tmp_path):
     assert len(tax) == 2 and e.catalog.check("events") == 0
     spark.conf.set("spark.sql.caseSensitive", "false")
     spark.conf.set("spark.sql.orderByOrdinal", "true")
+
+
+def test_stages_orders_budgets_and_commits(spark, tmp_path):
+    from tamarind import scenarios
+
+    with scenarios.settings(spark):
+        e = Engine(spark, str(tmp_path))
+        e.run("CREATE TABLE ev (id INT, kind INT, PRIMARY KEY (id))")
+        dml.insert(e.catalog, "ev", spark.range(2000).selectExpr("id", "id % 20 as kind"))
+        found = labs.stages(e, "SELECT id FROM ev WHERE id < 50", 1)
+        assert set(found) == {"parse", "bind", "plan", "run"} and found["parse"] < 0.1 and all(v >= 0 for v in found.values())
+        assert all(v > 0 for v in labs.order_gain(e, "SELECT id, kind FROM ev ORDER BY id", 1)) and all(v > 0 for v in labs.order_gain(e, "SELECT id FROM ev ORDER BY id LIMIT 5", 1))
+        assert set(labs.spilling(spark, spark.range(5000), "id", (100, 10_000), 1)) == {100, 10_000}
+        off = {"spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushDownPredicates"}
+        assert all(v > 0 for v in labs.with_and_without(spark, off, lambda: labs.discard(e.query("SELECT id FROM ev WHERE kind = 3")), 1)) and spark.conf.get("spark.sql.optimizer.excludedRules", None) is None
+        assert all(v > 0 for v in labs.commits(e, "ev", lambda n: [(10_000 + k, 1) for k in range(n)], 2)) and e.catalog.check("ev") == 0
