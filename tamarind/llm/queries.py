@@ -123,6 +123,38 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the secret scan that SQL can say: everything but what the network adds."""
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _matches(kind: str, rank: int, pattern: str, least: str) -> str:
+    """Matches of a pattern with their places: the pieces between them and those before them are as long as what precedes."""
+    return f"""select r, '{kind}' as kind, {rank} as rank, length(ms[i]) as size, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start
+from (select r, ms, ps, gs, unnest(range(1, len(ms) + 1)) as i from (select r, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as ps, regexp_extract_all(t, '{pattern}', {2 if kind == "assign" else 0}) as gs from d)) where {least}"""
+
+
+# The patterns of the base findings, with either case of the letters written out.
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_SCAN_BASE = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+m as ({_matches("assign", 0, _ASSIGN, "length(gs[i]) >= 6")} union all {_matches("access", 1, "AKIA[A-Z0-9]{16,}", "true")} union all {_matches("hex", 2, "[0-9a-f]{24,}", "true")}),
+g as (select r, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex, string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, rank) as marks from m group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(marks, '')) as base_sha256 from d left join g using (r)"""
+
+
+def packing_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every packing: all documents are there, pieces follow one another, and sequences have no gap and no excess."""
+    packed = op7_best_fit_packing(spark, sf_dir)
+    last = F.max("piece") + 1
+    by_doc = packed.groupBy("doc_id").agg(((last == F.count("*")) & (F.max(F.col("start") + F.col("length")) == F.sum("length")) & (F.min("length") > 0)).alias("whole")).agg(F.count("*").alias("documents"), F.count(F.when(~F.col("whole"), 1)).alias("broken"))
+    by_sequence = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("begin"), F.count_distinct("offset").alias("places"), F.count("*").alias("pieces"))
+    bad = by_sequence.agg(F.count(F.when(F.col("n") > 4096, 1)).alias("overfull"), F.count(F.when((F.col("n") != F.col("end")) | (F.col("begin") != 0) | (F.col("places") != F.col("pieces")), 1)).alias("gaps"))
+    return by_doc.crossJoin(bad)  # one row each
+
+
+PACKING_CHECKED = "select count(distinct doc_id) as documents, 0::bigint as broken, 0::bigint as overfull, 0::bigint as gaps from documents"
+
 #: All other rows of each query by cosine; windows of at least 512 ranks on either side hold the whole of a small table.
 OP10 = """
 with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -130,5 +162,5 @@ s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as
 r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scan, op5_ngram_jaccard_join, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_benchmark_decontamination, op10_hilbert_neighbours)}
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op5_ngram_jaccard_join": OP5, "op9_benchmark_decontamination": OP9, "op10_hilbert_neighbours": OP10}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scan, op5_ngram_jaccard_join, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_benchmark_decontamination, op10_hilbert_neighbours, secret_scan_base, packing_checked)}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op5_ngram_jaccard_join": OP5, "op9_benchmark_decontamination": OP9, "op10_hilbert_neighbours": OP10, "secret_scan_base": SECRET_SCAN_BASE, "packing_checked": PACKING_CHECKED}

@@ -294,6 +294,13 @@ def test_neighbours_match_their_sql(spark, duck):
     same_rows(q.op10_hilbert_neighbours(spark, SF), duck.sql(q.OP10))
 
 
+@pytest.mark.parametrize("name", ["secret_scan_base", "packing_checked"])
+def test_what_sql_can_say(spark, duck, name):
+    from conftest import same_rows
+
+    same_rows(q.QUERIES[name](spark, SF), duck.sql(q.ORACLES[name]))
+
+
 def test_hot_keys_are_joined_alike(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     groups = rows.groupBy("k").agg(F.count("*").alias("many"))
