@@ -7,7 +7,7 @@ measures of a text's form is trained to minimise the non-negative unbiased risk
 
 where the second term's gradient is turned round while it is below zero.  The class prior is estimated first: a
 positive-against-unlabelled model is fitted on half of both, and on the other half the least ratio, over thresholds, of the shares of
-unlabelled texts and positives above it (with a confidence margin) is the prior.
+unlabelled texts and positives above it (with a confidence margin) is the prior; the median of several splits is taken.
 
 Measures are taken over the whole text in a few vectorised passes; those of its worst stretch of ``STRETCH`` words are
 among them, so that junk within a long text counts.
@@ -33,6 +33,8 @@ from .workspace import is_held_out, slices
 STRETCH = 24
 #: Positives, and unlabelled texts, that the model is fitted on, at most.
 SAMPLE = 2500
+#: Splits that estimate the class prior, and networks whose scores are averaged.
+SPLITS, NETWORKS = 15, 5
 #: Columns of measures().
 MEASURES = 18
 SIGNS = np.isin(np.arange(256), [*b"!#$%&*+<=>@\\^_`{|}~"])
@@ -161,14 +163,17 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, mar
 
 class QualityModel:
     def __init__(self, p: np.ndarray, u: np.ndarray):
-        """Measures of positives and of unlabelled texts."""
-        self.net, self.prior = None, None
+        """Measures of positives and of unlabelled texts.  The prior is the median of several splits' estimates, and the score
+        the mean of several networks', as one of either can be off."""
+        self.nets, self.prior = [], None
         if len(p) > 3 and len(u) > 3:
-            self.prior = class_prior(p, u)
-            self.net = train(p, u, self.prior, 9)
+            splits = [np.random.default_rng(k) for k in range(SPLITS)]
+            self.prior = float(np.median([class_prior(rng.permutation(p), rng.permutation(u)) for rng in splits]))
+            self.nets = [train(p, u, self.prior, 9 + k) for k in range(NETWORKS)]
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return self.net.scores(measures(column)) if self.net else np.zeros(len(column))
+        x = measures(column)
+        return np.mean([net.scores(x) for net in self.nets], axis=0) if self.nets else np.zeros(len(x))
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
