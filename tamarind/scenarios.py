@@ -62,8 +62,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_orders(spark: SparkSession, sf_dir: str, **options) -> Engine:
-    """All orders, with an index on customers, and statistics."""
-    e = database(spark, rows_a_file=200, **options)
+    """All orders in some forty files, with an index on customers, and statistics."""
+    rows = table(spark, sf_dir, "orders").count()
+    e = database(spark, rows_a_file=max(1, rows // 40), **options)
     e.run("CREATE TABLE orders (o_orderkey INT, o_custkey INT, o_orderstatus TEXT, o_orderpriority TEXT, PRIMARY KEY (o_orderkey))")
     dml.insert(e.catalog, "orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     e.run_script("CREATE INDEX orders_cust ON orders (o_custkey); ANALYZE orders")
