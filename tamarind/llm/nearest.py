@@ -6,8 +6,8 @@ blocks of bounded size, and a query goes to the blocks that its window of neighb
 compared with the window's vectors by exact cosine; the best of all windows and curves are merged.
 
 How wide windows have to be depends on the vectors, so it is measured: for a bounded sample of queries the true
-neighbours are found by brute force, and for each number of curves the least width at which they bring ``recall`` of
-those together; the cheapest of these pairs is taken, with windows of at least ``LEAST`` ranks on either side.
+neighbours are found by brute force, and for each number of curves from ``FEWEST`` on the least width at which they bring
+``recall`` of those together; the cheapest of these pairs is taken, with windows of at least ``LEAST`` ranks on either side.
 Vectors without structure need windows that are a large share of the table; nothing is dropped then, it only costs more.
 
 Before any product, a vector is divided by the power of two next to its largest component, which changes no digit, so that
@@ -33,7 +33,8 @@ from pyspark.sql import window as W
 
 from .workspace import join_by_key, new_dir, stored
 
-CURVES, DIMS, BITS = 8, 4, 12
+#: Curves, at most and at least; dimensions and bits of their grids.
+CURVES, FEWEST, DIMS, BITS = 8, 3, 4, 12
 #: Ranks of a block, which one task holds at a time; the least window; sample of queries, by which windows are measured.
 BLOCK, LEAST, SAMPLE = 1024, 512, 96
 RECALL = 0.96
@@ -283,7 +284,7 @@ def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall:
     most SAMPLE queries, the same at every size."""
     some = points.filter("asked").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "vector").toArrow()
     if not some.num_rows:
-        return 1, LEAST
+        return min(FEWEST, curves), LEAST
     own = some.column("point").to_numpy()
     true = brute_force(points.select("point", "vector"), matrix(some.column("vector"), length), own, k)
     wanted = points.sparkSession.createDataFrame([(x,) for x in sorted({*own.tolist(), *(x for row in true for x in row)})], "point long")
@@ -292,8 +293,9 @@ def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall:
         at.setdefault(r.point, {})[r.curve] = r["rank"]
     apart = np.array([[abs(at[q][c] - at[x][c]) for c in range(curves)] for q, row in zip(own.tolist(), true, strict=True) for x in row])
     if not len(apart):
-        return 1, LEAST
+        return min(FEWEST, curves), LEAST
     widths = [max(LEAST, int(np.sort(apart[:, :c].min(axis=1))[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1) for c in range(1, curves + 1)]
     cost = [(c + 1) * min(n, 2 * w + BLOCK) for c, w in enumerate(widths)]
-    best = int(np.argmin(cost))
+    few = min(FEWEST, curves) - 1
+    best = few + int(np.argmin(cost[few:]))
     return best + 1, widths[best]
