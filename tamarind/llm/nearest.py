@@ -7,7 +7,8 @@ compared with the window's vectors by exact cosine; the best of all windows and
 
 How wide windows have to be depends on the vectors, so it is measured: for a bounded sample of queries the true
 neighbours are found by brute force, and for each number of curves from ``FEWEST`` on the least width at which they bring
-``recall`` of those together; the cheapest of these pairs is taken, with windows of at least ``LEAST`` ranks on either side.
+``recall`` of those together; the cheapest of these pairs, by comparisons and by vectors that are moved, is taken, with windows of
+at least ``LEAST`` ranks on either side.
 Vectors without structure need windows that are a large share of the table; nothing is dropped then, it only costs more.
 
 Before any product, a vector is divided by the power of two next to its largest component, which changes no digit, so that
@@ -34,10 +35,12 @@ from pyspark.sql import window as W
 from .workspace import join_by_key, new_dir, stored
 
 #: Curves, at most and at least; dimensions and bits of their grids.
-CURVES, FEWEST, DIMS, BITS = 8, 3, 4, 12
+CURVES, FEWEST, DIMS, BITS = 5, 3, 4, 12
 #: Ranks of a block, which one task holds at a time; the least window; sample of queries, by which windows are measured.
 BLOCK, LEAST, SAMPLE = 1024, 512, 96
 RECALL = 0.96
+#: Comparisons that cost as much as placing one vector on one more curve: sorting its key, and sending it to its block.
+MOVE = 300
 #: Scores that differ by no more are told apart by the exact sum alone.
 ROUNDING = 1e-9
 
@@ -193,11 +196,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     """
     spark = vectors.sparkSession
     some = usable(vectors, id_col, vector_col)
-    marks = some.select("vec_id", F.xxhash64("vector").alias("a"), F.hash("vector").alias("b")).distinct()
+    hashed = some.select("vec_id", "vector", F.xxhash64("vector").alias("a"), F.hash("vector").alias("b"))
+    marks = stored(hashed.groupBy("vec_id", "a", "b").agg((F.count("*") > 1).alias("twice")), new_dir(spark, "marks"))
     # The least k + 1 ids of each vector are all that can be among someone's k nearest.  Spark limits each task's rows first.
     by_salt = W.Window.partitionBy("a", "b", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     by_vector = W.Window.partitionBy("a", "b").orderBy("vec_id")
-    least = marks.withColumn("nth", F.row_number().over(by_salt)).filter(f"nth <= {k + 1}").withColumn("nth", F.row_number().over(by_vector)).filter(f"nth <= {k + 1}")
+    least = marks.drop("twice").withColumn("nth", F.row_number().over(by_salt)).filter(f"nth <= {k + 1}").withColumn("nth", F.row_number().over(by_vector)).filter(f"nth <= {k + 1}")
     least = stored(least, new_dir(spark, "ids"))
     point = least.filter("nth = 1").select("a", "b", F.col("vec_id").alias("point"))
     ids = least.join(point, ["a", "b"]).select("point", "vec_id")
@@ -206,10 +210,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     owners = wanted.groupBy("own").agg(F.count("*").alias("many")).join(point.select(F.struct("a", "b").alias("own"), "point"), "own")
     owners = stored(owners, new_dir(spark, "owners"))
     queries = stored(join_by_key(wanted, owners, "own", "many", marks.count()).select("query_id", "point"), new_dir(spark, "queries"))
-    hashed = some.select("vec_id", "vector", F.xxhash64("vector").alias("a"), F.hash("vector").alias("b"))
+    # What is known of a point is put together without its vector, which is joined once.
     asked = owners.select("point").withColumn("asked", F.lit(True))
-    points = hashed.join(point.withColumnRenamed("point", "vec_id"), ["a", "b", "vec_id"], "left_semi").select(F.col("vec_id").alias("point"), "vector").dropDuplicates(["point"])
-    points = stored(points.join(asked, "point", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), new_dir(spark, "points"))
+    known = point.withColumnRenamed("point", "vec_id").join(marks, ["a", "b", "vec_id"]).join(asked.withColumnRenamed("point", "vec_id"), "vec_id", "left")
+    points = hashed.join(known, ["a", "b", "vec_id"]).select(F.col("vec_id").alias("point"), "vector", F.coalesce("asked", F.lit(False)).alias("asked"), "twice")
+    points = stored(points, new_dir(spark, "points"))
+    if not points.filter("twice").isEmpty():
+        points = stored(points.filter("not twice").unionByName(points.filter("twice").dropDuplicates(["point"])), new_dir(spark, "points"))
     length = points.agg(F.max(F.size("vector"))).first()[0]
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -280,9 +287,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
 def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall: float, curves: int, length: int) -> tuple[int, int]:
     """(curves, width): of all numbers of curves, each with the least window at which the sampled queries' true neighbours
-    stand within it on some curve, for a share of ``recall``, the one that compares the fewest vectors.  The sample is at
-    most SAMPLE queries, the same at every size."""
-    some = points.filter("asked").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "vector").toArrow()
+    stand within it on some curve, for a share of ``recall``, the one that costs least: a window's comparisons for each query, and
+    MOVE for each vector that is placed.  The sample is at most SAMPLE queries, the same at every size."""
+    asked = points.filter("asked")
+    some = asked.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "vector").toArrow()
     if not some.num_rows:
         return min(FEWEST, curves), LEAST
     own = some.column("point").to_numpy()
@@ -295,7 +303,8 @@ def measured_width(points: DataFrame, ranks: DataFrame, n: int, k: int, recall:
     if not len(apart):
         return min(FEWEST, curves), LEAST
     widths = [max(LEAST, int(np.sort(apart[:, :c].min(axis=1))[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1) for c in range(1, curves + 1)]
-    cost = [(c + 1) * min(n, 2 * w + BLOCK) for c, w in enumerate(widths)]
+    many = asked.count()
+    cost = [(c + 1) * (many * min(n, 2 * w + BLOCK) + MOVE * n) for c, w in enumerate(widths)]
     few = min(FEWEST, curves) - 1
     best = few + int(np.argmin(cost[few:]))
     return best + 1, widths[best]
