@@ -13,8 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.catalog import FILE, Catalog
+from ..sources.catalog import FILE, Catalog, File
+
+#: Entries that may be broadcast, by count; key types whose values are the same as literals.
+SMALL, RANGED = 200_000, (T.IntegralType, T.DecimalType, T.StringType)
 
 
 @dataclass(frozen=True)
@@ -89,10 +93,10 @@ def run(catalog: Catalog, q: RangeQuery, path: Path | None = None) -> DataFrame:
         conditions.append(c < F.lit(q.high))
     if path.kind == "SeqScan":
         source = catalog.read(q.table)
-    elif path.kind == "IndexOnlyScan" or catalog.table(q.table).path:
+    elif catalog.table(q.table).path:
         source = catalog.read_index(path.index)
     else:
-        source = catalog.open_index(path.index, catalog.index_files(path.index))
+        source = catalog.open_index(path.index, [(s, [f for f in files if may_hold(f, q.low, q.high)]) for s, files in catalog.index_files(path.index)])
     for condition in conditions:
         source = source.filter(condition)
     if path.kind == "IndexScan":
@@ -100,15 +104,28 @@ def run(catalog: Catalog, q: RangeQuery, path: Path | None = None) -> DataFrame:
     return source.select(*q.need)
 
 
+def may_hold(file: File, low: object, high: object) -> bool:
+    """Whether low <= value < high for some value in the file's range; a bound of None is none, unless both are, and NULL is in no range."""
+    if low is None and high is None:
+        return True
+    return file.high is not None and (low is None or file.high >= low) and (high is None or file.low is None or file.low < high)
+
+
 def fetch(catalog: Catalog, table: str, entries: DataFrame) -> DataFrame:
-    """The rows of a table with the primary keys of some entries; of files that hold none of them nothing is read, if the
-    entries name theirs."""
+    """The rows of a table with the primary keys of some entries.  If the entries name their files, those are counted first: of files
+    that hold none nothing is read, of the others only row groups within the range of their keys, and a known small number of
+    entries goes to the rows, without a shuffle."""
     t = catalog.table(table)
-    base = catalog.read(table) if FILE not in entries.columns else None
-    if base is None:
-        names = {r[FILE] for r in entries.select(FILE).distinct().collect()}  # names of files alone
-        base = catalog.open(t, [(s, [f for f in files if f.name in names]) for s, files in catalog.files(table)])
-    return base.join(entries.select(*t.key).distinct(), t.key, "left_semi")
+    if FILE not in entries.columns:
+        return catalog.read(table).join(entries.select(*t.key).distinct(), t.key, "left_semi")
+    lead = t.key[0]
+    met = entries.groupBy(FILE).agg(F.count("*").alias("n"), F.min(lead).alias("low"), F.max(lead).alias("high")).collect()  # one row a file
+    names = {r[FILE] for r in met}
+    base = catalog.open(t, [(s, [f for f in files if f.name in names]) for s, files in catalog.files(table)])
+    if met and isinstance(t.schema[lead].dataType, RANGED):
+        base = base.filter(F.col(lead).between(min(r.low for r in met), max(r.high for r in met)))
+    keys = entries.select(*t.key)
+    return base.join(F.broadcast(keys) if sum(r.n for r in met) <= SMALL else keys.distinct(), t.key, "left_semi")
 
 
 def get(catalog: Catalog, table: str, key: tuple) -> dict | None:
