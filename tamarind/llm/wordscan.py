@@ -14,13 +14,15 @@ LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np
 IN_WORD = ((LOWER >= 97) & (LOWER <= 122)) | ((_codes >= 48) & (_codes <= 57)) | (_codes >= 128)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Values that are hashed at a time.
+PIECE = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE + 1)
         for k, base in enumerate((BASE, INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -97,7 +99,20 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A hash of each run of values; neither starts nor ends decrease.  Runs are taken PIECE values at a time, so a long text needs
+    no more memory than a short one; a hash doesn't depend on where its run stands."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        size, s, e = int(ends[j - 1]) - a, starts[i:j] - a, ends[i:j] - a
+        up, down = powers(size + 1)
+        x = values[a : a + size].astype(np.uint64)
+        x += np.uint64(1)
+        x *= up[:-1]
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(x, out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
