@@ -29,8 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of rows that Python gets at a time: the setting, its default, and what is set instead, so that texts of any length need
+#: about the same memory.  A longer row is a batch of its own.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4MB")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the executors, once a session, so that workers can import it wherever they run."""
+    if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:  # Spark's own default
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     context = spark.sparkContext
     if getattr(context, "_tamarind_shipped", False):
         return
