@@ -4,8 +4,9 @@ How many sequences a packing takes depends on the pieces' lengths alone, and the
 lengths.  So the driver gets one count for each length (bounded by the capacity, not by the corpus), solves the
 problem on these counts with patterns that stand for many sequences each, and executors look up the place of every
 piece from its number among the pieces of its length.  Best fit is the incumbent; where it misses the least number
-that the bounds allow, branch and bound on undominated fillings around the longest piece looks for better, within a
-stated number of steps.
+that the bounds allow, each longest piece gets the fullest filling there is, from long pieces first; where that misses
+it too, branch and bound on undominated fillings around the longest piece looks for better, within a stated number of
+steps.
 
 Results for special input: a null or empty text is one piece, the end id alone; a text of any length is encoded whole;
 repeated rows are packed as often as they occur; ties between pieces of a length are decided by their order in the
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 from typing import NamedTuple
 
@@ -90,11 +91,24 @@ class Steps:
         return self.left >= 0
 
 
-def dominated(room: int, filling: list[tuple[int, int]], counts: np.ndarray) -> bool:
-    """Whether one more piece that is at hand could replace some of the filling's (or none), and stand for them: it is
-    at least as long as those together, the sequence still holds it, and it isn't one piece for another of its length."""
+def bits(lengths: Iterable[int]) -> int:
+    """The bit x for each length x."""
+    out = bytearray()
+    for x in lengths:
+        if x >> 3 >= len(out):
+            out.extend(bytes((x >> 3) + 1 - len(out)))
+        out[x >> 3] |= 1 << (x & 7)
+    return int.from_bytes(out, "little")
+
+
+def dominated(room: int, filling: list[tuple[int, int]], have: dict[int, int], spare: int) -> bool:
+    """Whether one more piece that is at hand (``have`` says how many, ``spare`` which lengths, as bits) could replace
+    some of the filling's (or none), and stand for them: it is at least as long as those together, the sequence still
+    holds it, and it isn't one piece for another of its length."""
     slack = room - sum(x * k for x, k in filling)
-    used = dict(filling)
+    for x, k in filling:
+        if have[x] <= k:
+            spare &= ~(1 << x)
     # Sums of no piece and of one piece, and of two and more, as bits.
     none, many = 1, 0
     single = 0
@@ -102,16 +116,13 @@ def dominated(room: int, filling: list[tuple[int, int]], counts: np.ndarray) ->
         for _ in range(k):
             many |= (many << x) | (single << x)
             single |= 1 << x
-    low = none | single
-    for x in np.flatnonzero(counts[: room + 1])[::-1].tolist():
-        if not x or counts[x] <= used.get(x, 0):
-            continue
-        # A set of pieces with sum t is replaced by x if t <= x <= t + slack.
-        least = max(0, x - slack)
-        window = (1 << (x - least)) - 1 << least
-        if (low | many) & window or many >> x & 1:
-            return True
-    return False
+    # A set of pieces with sum t is replaced by x if t <= x <= t + slack; one piece, if t < x.
+    reach, wide = (none | single | many) << 1 if slack else 0, 1
+    while wide < slack:
+        step = min(wide, slack - wide)
+        reach |= reach << step
+        wide += step
+    return bool((many | reach) & spare)
 
 
 def fillings(room: int, counts: np.ndarray, allowed: int | None = None, steps: Steps | None = None) -> Iterator[Pattern]:
@@ -126,6 +137,7 @@ def fillings(room: int, counts: np.ndarray, allowed: int | None = None, steps: S
     here = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
     steps.left -= len(here) // 8  # these lists cost as much
     have = [int(counts[x]) for x in here]
+    held, spare = dict(zip(here, have, strict=True)), bits(here)
     below = [0]
     for x, n in zip(here, have, strict=True):
         below.append(below[-1] + x * n)
@@ -134,7 +146,8 @@ def fillings(room: int, counts: np.ndarray, allowed: int | None = None, steps: S
         """Fillings from the lengths here[:top] that leave ``least`` to ``most``."""
         top = min(top, bisect_right(here, left))
         if left <= most and left >= least and not (here and chosen and top and left >= here[0] and left - here[0] > most):
-            if not dominated(room, chosen, counts):
+            steps.left -= sum(k for _, k in chosen) // 16  # of as many pieces all sums are taken
+            if not dominated(room, chosen, held, spare):
                 yield tuple(chosen)
         for i in range(top - 1, -1, -1):
             if left - below[i + 1] > most or not steps.take():
@@ -189,6 +202,52 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [(pattern(chain), n) for groups in open_.values() for chain, n in groups]
 
 
+def fullest(room: int, here: list[int], have: list[int], top: int) -> list[tuple[int, int]]:
+    """A filling from the lengths here[:top] that leaves as little of ``room`` as any does, as (length, how many); of those
+    without waste, one whose shortest length is the longest possible, so that short pieces stay for rooms that need them."""
+    rooms, before = 1 << room, []  # the rooms that sets of the lengths so far leave, as bits
+    for i in range(top - 1, -1, -1):
+        if have[i]:
+            before.append((here[i], rooms))
+            left, many = min(have[i], room // here[i]), 1
+            while left:
+                many = min(many, left)
+                rooms |= rooms >> here[i] * many
+                left, many = left - many, many * 2
+            if rooms & 1:
+                break
+    at, out = (rooms & -rooms).bit_length() - 1, []
+    for x, rooms in reversed(before):
+        k = 0
+        while not rooms >> at & 1:
+            at, k = at + x, k + 1
+        if k:
+            out.append((x, k))
+    return out
+
+
+def fullest_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Around each longest piece left the fullest filling, as often as the counts allow."""
+    here = [int(x) for x in np.flatnonzero(counts) if x]
+    have, place = [int(counts[x]) for x in here], {x: i for i, x in enumerate(here)}
+    top, out = len(here), []
+    while top:
+        if not have[top - 1]:
+            top -= 1
+            continue
+        longest = here[top - 1]
+        have[top - 1] -= 1
+        room = capacity - longest
+        many = defaultdict(int, fullest(room, here, have, min(top, bisect_right(here, room))))
+        have[top - 1] += 1
+        many[longest] += 1
+        n = min(have[place[x]] // k for x, k in many.items())
+        for x, k in many.items():
+            have[place[x]] -= n * k
+        out.append((tuple(sorted(many.items(), reverse=True)), n))
+    return out
+
+
 def least_sequences(counts: np.ndarray, capacity: int) -> int:
     """A lower bound: for every k, pieces over capacity - k stand alone, those over a half have one sequence each, and what
     room these leave takes pieces of k and more, the rest of which needs sequences of its own."""
@@ -208,21 +267,22 @@ def least_waste(counts: np.ndarray, capacity: int, steps: Steps | None = None) -
     here = [int(x) for x in np.flatnonzero(counts) if x]
     if steps:
         steps.left -= len(here) // 8
-    mask, reach = (2 << capacity) - 1, 1
-    while True:
-        more = reach
-        for x in here:
-            more |= more << x
-        more &= mask
-        if more == reach:
-            break
-        reach = more
-    gap = [capacity - x - ((reach & ((2 << (capacity - x)) - 1)).bit_length() - 1) for x in here]
-    return -(-sum(g * x * int(counts[x]) for g, x in zip(gap, here, strict=True)) // capacity)
+    left = 1 << capacity  # the rooms that pieces leave, as bits
+    for x in here:
+        many = x
+        while many <= capacity:
+            left |= left >> many
+            many *= 2
+    reach = np.unpackbits(np.frombuffer(left.to_bytes(capacity // 8 + 1, "little"), np.uint8), bitorder="little")[: capacity + 1][::-1]
+    full = np.maximum.accumulate(np.where(reach, np.arange(capacity + 1), 0))
+    sizes = np.array(here, np.int64)
+    room = capacity - sizes
+    return -(-int(((room - full[room]) * sizes * counts[sizes]).sum()) // capacity)
 
 
 def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
-    """As few sequences as are found within ``steps`` steps of the search; best fit is the first incumbent.
+    """As few sequences as are found within ``steps`` steps of the search; best fit is the first incumbent, and where it
+    misses the bound, the fullest fit the second.
 
     Depth first: the longest piece left gets each of its undominated fillings in turn, as often as the counts and the
     waste allow; going back gives up one use at a time, and the next sequence around that length then has a filling that was not
@@ -233,6 +293,8 @@ def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Pla
     counts = counts.astype(np.int64).copy()
     best = best_fit(counts, capacity)
     fewest, bound, spent = sum(n for _, n in best), least_sequences(counts, capacity), 0
+    if fewest > bound and (fit := fullest_fit(counts, capacity)) and (n := sum(n for _, n in fit)) < fewest:
+        best, fewest = fit, n
     rng = np.random.default_rng(0)
     while fewest > bound and spent < steps:
         limit = Steps(min(steps - spent, max(1, steps // ROUNDS)))

@@ -569,6 +569,30 @@ def test_fillings_are_all_the_undominated_ones():
     assert ((30, 1), (9, 1)) in set(fillings(40, np.bincount([30, 9, 25, 15], minlength=41)))
 
 
+def test_fullest_leaves_as_little_room_as_any_filling():
+    from tamarind.llm.packing import fullest
+
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        room, counts = int(rng.integers(1, 30)), np.bincount(rng.integers(1, 25, rng.integers(1, 9)), minlength=31)
+        here = np.flatnonzero(counts[: room + 1]).tolist()
+        got = fullest(room, here, counts[here].tolist(), len(here))
+        assert all(0 < k <= counts[x] for x, k in got)
+        sums = [s for many in itertools.product(*(range(counts[x] + 1) for x in here)) if (s := sum(x * k for x, k in zip(here, many, strict=True))) <= room]
+        assert sum(x * k for x, k in got) == max(sums)
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_many_lengths_are_packed_to_the_bound_without_a_search(times):
+    from tamarind.llm.packing import best_fit, bin_completion
+
+    lengths = np.random.default_rng(0).lognormal(6.5, 1.2, 4000).astype(int) + 5
+    counts = np.bincount(lengths[lengths <= 4096], minlength=4097) * times
+    plan = bin_completion(counts, 4096, 1000)
+    assert packed(plan, 4096) == Counter(dict(enumerate(counts.tolist())))
+    assert plan.sequences == plan.bound < sum(n for _, n in best_fit(counts, 4096)) and plan.steps == 0
+
+
 def test_bounds_never_exceed_the_optimum():
     from tamarind.llm.packing import least_sequences, least_waste
 
