@@ -52,9 +52,13 @@ def settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def database(spark: SparkSession, **options) -> Engine:
+def new_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tamarind-")
-    return Engine(spark, f"{base.rstrip('/')}/db-{uuid.uuid4().hex}", **options)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def database(spark: SparkSession, **options) -> Engine:
+    return Engine(spark, new_folder(spark, "db"), **options)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,19 +109,20 @@ def index_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(frame: DataFrame) -> DataFrame:
-    """Rows with their number in the order in which they come: a task's rows are counted where they are."""
-    at = F.struct(F.spark_partition_id(), F.monotonically_increasing_id())
-    rows = frame.withColumn("at", at)
-    first = rows.groupBy(F.col("at")["col1"].alias("part")).agg(F.count("*").alias("n"))
+    """Rows with their number in the order in which they come.  They are written once, with their task and place in it, and
+    counted and read from there: a sort by ranges draws a sample for them and may cut the rows elsewhere when it runs again."""
+    spark, path = frame.sparkSession, new_folder(frame.sparkSession, "numbered")
+    placed = frame.withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    first = rows.groupBy("part").agg(F.count("*").alias("n"))
     sizes = sorted((r.part, r.n) for r in first.collect())  # one number a partition
     done, before = 0, []
     for part, n in sizes:
         before.append((part, done))
         done += n
-    starts = frame.sparkSession.createDataFrame(before, "part int, before long")
-    joined = rows.join(F.broadcast(starts), F.col("at")["col1"] == F.col("part"))
-    within = F.col("at")["col2"].bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.withColumn("nth", F.col("before") + within).drop("at", "part", "before")
+    starts = spark.createDataFrame(before, "part int, before long")
+    return rows.join(F.broadcast(starts), "part").withColumn("nth", F.col("before") + F.col("within")).drop("part", "within", "before")
 
 
 @scenario("select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as nth from orders")
@@ -197,7 +202,8 @@ def fetched_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @scenario("select l_orderkey, l_partkey, l_suppkey, row_number() over (order by l_partkey, l_suppkey, l_orderkey, l_extendedprice) as nth from lineitem")
 def sorted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sort of the whole table, by ranges over all tasks; each spills what does not fit."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").orderBy("l_partkey", "l_suppkey", "l_orderkey", "l_extendedprice")
+    keys = ("l_partkey", "l_suppkey", "l_orderkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").orderBy(*(F.col(c).asc_nulls_last() for c in keys))
     return numbered(rows.drop("l_extendedprice")).withColumn("nth", F.col("nth") + 1)
 
 

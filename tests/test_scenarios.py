@@ -26,6 +26,19 @@ def test_scenario_matches_its_sql(spark, duck, name):
     same_rows(scenarios.QUERIES[name](spark, SF), duck.sql(scenarios.ORACLES[name]))
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_a_whole_sort_is_numbered_as_its_sql_says(spark, duck, tmp_path, nulls):
+    """Rows enough that a sort by ranges samples them, in partitions that stay apart."""
+    some = spark.range(0, 60_000, 1, 8).select(*(F.when(F.lit(not nulls) | (F.xxhash64("id", F.lit(i)) % 50 != 0), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3000))).alias(c) for i, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey"))), (F.col("id") / 7).alias("l_extendedprice"))
+    some.write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = scenarios.ORACLES["sorted_whole"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        same_rows(scenarios.QUERIES["sorted_whole"](spark, str(tmp_path)), duck.sql(sql))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 KINDS = {
     "i int": [1, 5, 6, None], "l long": [2**53, 2**53 + 1, 5, None], "d double": [1320.5, 5.0, float("nan"), None], "f float": [0.1, 5.5, 16777216.0], "m decimal(10,2)": ["5.25", "5.00", None], "u decimal(20,0)": [0, 2**64 - 1, 5],
     "t string": ["a", "B", "é", "", None], "b boolean": [True, False, None], "ts timestamp": ["2024-03-05 00:00:00", "2024-02-01 12:00:00", None], "dt date": ["2024-02-01", "2024-10-01", None],
